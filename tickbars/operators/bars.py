@@ -11,71 +11,59 @@ from tickbars import schemas
 from tickbars.functions import bar_id, bar_window, event_order, price_volume, time_bucket, vwap
 
 
-def bar_partials(trades: DataFrame, period_minutes: int = 1, keys: Sequence[str] = ("Symbol",)) -> DataFrame:
-    """Trades to mergeable bars: the ordering keys of open and close stay beside the values.
-
-    Open and close follow event order (Timestamp, TradeID). One shuffle on (keys, period), after a
-    partial aggregate in each input task, so the rows of a hot symbol are folded before they move.
-    """
+def trade_aggregates() -> list[Column]:
+    """Aggregates of a bar over trades; open and close follow event order (Timestamp, TradeID)."""
     order = event_order(F.col("Timestamp"), F.col("TradeID"))
-    return trades.groupBy(*keys, bar_window(F.col("Timestamp"), period_minutes).alias("_bar")).agg(
+    return [
         F.min_by("Price", order).alias("Open"),
-        F.min(order).alias("_open_at"),
         F.max("Price").alias("High"),
         F.min("Price").alias("Low"),
         F.max_by("Price", order).alias("Close"),
-        F.max(order).alias("_close_at"),
         F.sum("Quantity").alias("Volume"),
         F.count(F.lit(1)).alias("Trades"),
         F.sum(F.col("IsBuyerMaker").cast("int")).cast("bigint").alias("BuyerMakerCount"),
         F.sum(F.col("Price") * F.col("Quantity")).alias("_pq"),
-    ).withColumnRenamed("_bar", "Timestamp")
+    ]
 
 
-def merge_partials(partials: DataFrame, *extra: Column, keys: Sequence[str] = ("Symbol",)) -> DataFrame:
-    """Partials of the same bar, from different batches, to one."""
-    return partials.groupBy(*keys, "Timestamp").agg(
-        F.min_by("Open", "_open_at").alias("Open"),
-        F.min("_open_at").alias("_open_at"),
+def rollup_aggregates(at: Column) -> list[Column]:
+    """Aggregates of a bar over shorter bars; the average price is rebuilt from price times volume."""
+    return [
+        F.min_by("Open", at).alias("Open"),
         F.max("High").alias("High"),
         F.min("Low").alias("Low"),
-        F.max_by("Close", "_close_at").alias("Close"),
-        F.max("_close_at").alias("_close_at"),
+        F.max_by("Close", at).alias("Close"),
         F.sum("Volume").alias("Volume"),
         F.sum("Trades").alias("Trades"),
         F.sum("BuyerMakerCount").alias("BuyerMakerCount"),
-        F.sum("_pq").alias("_pq"),
-        *extra,
-    )
+        F.sum(price_volume(F.col("Vwap"), F.col("Volume"))).alias("_pq"),
+    ]
 
 
-def finish_bars(partials: DataFrame, period_minutes: int = 1, others: Sequence[str] = ()) -> DataFrame:
-    """Partials to bars with the exposed columns."""
-    return partials.withColumn("BarId", bar_id(F.col("Timestamp"), period_minutes)) \
+def finish_bars(bars: DataFrame, period_minutes: int = 1, others: Sequence[str] = ()) -> DataFrame:
+    """Aggregates to bars with the exposed columns."""
+    return bars.withColumn("BarId", bar_id(F.col("Timestamp"), period_minutes)) \
         .withColumn("Vwap", vwap(F.col("_pq"), F.col("Volume"))) \
         .select(*schemas.TRADE_BAR_COLS, *others)
 
 
 def trade_bars(trades: DataFrame, period_minutes: int = 1, keys: Sequence[str] = ("Symbol",)) -> DataFrame:
-    """Trades to bars per symbol and period."""
+    """Trades to bars per symbol and period.
+
+    Bars of any length come straight from the trades. One shuffle on (keys, period), after a partial
+    aggregate in each input task, so the rows of a hot symbol are folded before they move.
+    ``rollup_trade_bars`` is for shorter bars that are already stored.
+    """
     extra = [k for k in keys if k not in schemas.TRADE_BAR_COLS]
-    return finish_bars(bar_partials(trades, period_minutes, keys), period_minutes, extra)
+    bars = trades.groupBy(*keys, bar_window(F.col("Timestamp"), period_minutes).alias("_bar")).agg(*trade_aggregates())
+    return finish_bars(bars.withColumnRenamed("_bar", "Timestamp"), period_minutes, extra)
 
 
 def rollup_trade_bars(bars: DataFrame, period_minutes: int, keys: Sequence[str] = ("Symbol",)) -> DataFrame:
-    """Trade bars to longer trade bars; the average price is rebuilt from price times volume."""
+    """Trade bars to longer trade bars."""
     at = F.col("Timestamp")
-    longer = bars.groupBy(*keys, bar_window(at, period_minutes).alias("_bar")).agg(
-        F.min_by("Open", at).alias("Open"),
-        F.max("High").alias("High"),
-        F.min("Low").alias("Low"),
-        F.max_by("Close", at).alias("Close"),
-        F.sum("Volume").alias("Volume"),
-        F.sum("Trades").alias("Trades"),
-        F.sum("BuyerMakerCount").alias("BuyerMakerCount"),
-        F.sum(price_volume(F.col("Vwap"), F.col("Volume"))).alias("_pq"),
-    )
     extra = [k for k in keys if k not in schemas.TRADE_BAR_COLS]
+    longer = bars.groupBy(*keys, bar_window(at, period_minutes).alias("_bar")).agg(*rollup_aggregates(at))
     return finish_bars(longer.withColumnRenamed("_bar", "Timestamp"), period_minutes, extra)
 
 

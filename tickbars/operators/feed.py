@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tickbars import schemas
 from tickbars.functions import instant_to_ns
-from tickbars.operators.bars import completed_bars, quote_bars, rollup_trade_bars, rollup_unified_bars, trade_bars
+from tickbars.operators.bars import completed_bars, quote_bars, rollup_unified_bars, trade_bars
 from tickbars.operators.bins import fill_bars, spine_start
 from tickbars.operators.filters import drop_placeholders, filter_exchange, filter_symbol, filter_time_range, project_fields
 from tickbars.operators.stitch import stitch_bars
@@ -45,9 +45,7 @@ class FeedSpec:
 def _sparse(minutes: int) -> Callable[[Sources], DataFrame]:
     """Trade bars as the filled table shows them once placeholders are hidden."""
     def build(sources: Sources) -> DataFrame:
-        bars = trade_bars(sources[schemas.TRADES], 1)
-        bars = bars if minutes == 1 else rollup_trade_bars(bars, minutes)
-        return bars.withColumn("IsEmpty", F.lit(False))
+        return trade_bars(sources[schemas.TRADES], minutes).withColumn("IsEmpty", F.lit(False))
     return build
 
 
@@ -86,8 +84,7 @@ def fill_trade_bars(trades: DataFrame, as_of: Column, period_minutes: int, bars_
     The bound falls on a bin border, and is put on the trades so that the scan skips older ones.
     """
     recent = trades.filter(F.col("Timestamp") >= spine_start(as_of, period_minutes, bars_back))
-    bars = trade_bars(recent, 1)
-    return fill_bars(bars if period_minutes == 1 else rollup_trade_bars(bars, period_minutes), as_of, period_minutes, bars_back=bars_back)
+    return fill_bars(trade_bars(recent, period_minutes), as_of, period_minutes, bars_back=bars_back)
 
 
 def fill_quote_bars(quotes: DataFrame, as_of: Column, bars_back: int = 2) -> DataFrame:

@@ -19,7 +19,7 @@ def bars_1m(t: Tables) -> DataFrame:
 
 
 def bars_5m(t: Tables) -> DataFrame:
-    return bars.rollup_trade_bars(bars_1m(t), 5)
+    return bars.trade_bars(t.view("trades"), 5)
 
 
 def quote_bars_1m(t: Tables) -> DataFrame:
@@ -40,6 +40,12 @@ def ohlcv_5m(t: Tables) -> DataFrame:
     return rounded(bars_5m(t), "Vwap")
 
 
+@query("rollup_bars", "bars_5m", f"SELECT {_BAR} FROM bars_5m")
+def rollup_bars(t: Tables) -> DataFrame:
+    """Longer bars from stored one-minute bars; equal to bars straight from the trades."""
+    return rounded(bars.rollup_trade_bars(bars_1m(t), 5), "Vwap")
+
+
 @query("bars_from_quotes", "quote_bars", f"SELECT {_UNIFIED} FROM quote_bars")
 def bars_from_quotes(t: Tables) -> DataFrame:
     return quote_bars_1m(t)

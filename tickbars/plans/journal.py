@@ -39,7 +39,7 @@ def canonical_upsert(t: Tables) -> DataFrame:
 def canonical_merge(t: Tables) -> DataFrame:
     """The upsert applied batch by batch: the first half of the batches, then the second."""
     rows, root = journal(t), shared_dir(t.spark, "canonical")
-    merge = tables.canonical_merge(root, buckets=8, ties=TIES)
+    merge = tables.canonical_merge(root, TIES, days_per_block=365)
     merge(rows.filter("batch_id < 32"), 0)
     merge(rows.filter("batch_id >= 32"), 1)
     return t.spark.read.parquet(root).select(*KEY_COLS)

@@ -80,13 +80,13 @@ def bar_change_feed(t: Tables) -> DataFrame:
 
 def _change_feed(t: Tables) -> DataFrame:
     out = shared_dir(t.spark, "stream")
-    _finished([state.start(trade_stream(t), feeds.bar_changes(f"{out}/data", f"{out}/state"), f"{out}/checkpoint")])
+    _finished([state.start(live.stream_changed_bars(trade_stream(t), 1, DELAY), feeds.bar_changes(f"{out}/data", f"{out}/state"), f"{out}/checkpoint", "update")])
     return t.spark.read.parquet(f"{out}/data")
 
 
 @query("feed_stats", "bars_1m", """
-SELECT 'binance' AS provider, 'ohlcv_1m' AS schema, Symbol AS symbol, count(*) AS last_added_rows, 0 AS last_updated_rows, count(*) - 1 AS last_completed_rows,
-       count(*) AS total_added_rows, 0 AS total_updated_rows, count(*) - 1 AS total_completed_rows FROM bars_1m GROUP BY Symbol""")
+SELECT 'binance' AS provider, 'ohlcv_1m' AS schema, Symbol AS symbol, count(*) AS last_added_rows, CAST(0 AS BIGINT) AS last_updated_rows, count(*) - 1 AS last_completed_rows,
+       count(*) AS total_added_rows, CAST(0 AS BIGINT) AS total_updated_rows, count(*) - 1 AS total_completed_rows FROM bars_1m GROUP BY Symbol""")
 def feed_stats(t: Tables) -> DataFrame:
     changes = _change_feed(t).select(F.lit("binance").alias("provider"), F.lit("ohlcv_1m").alias("schema"), F.col("Symbol").alias("symbol"), "part", "batch_id")
     return feed.feed_stats(changes)

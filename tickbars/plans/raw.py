@@ -207,8 +207,11 @@ r AS (SELECT DISTINCT b.exchange, b.symbol, coalesce(w.watermark - INTERVAL '5'
 SELECT *, least(greatest((epoch_us(window_end) - epoch_us(window_start)) // 60000000, 1), 5000) AS n_bars FROM r""")
 def fetch_window(t: Tables) -> DataFrame:
     bars = utc_bars(t)
-    as_of = bars.agg(F.max("datetime")).scalar()
-    return paging.fetch_window(bars.select("exchange", "symbol").distinct(), _watermarks(bars), as_of, ["exchange", "symbol"])
+    return paging.fetch_window(bars.select("exchange", "symbol").distinct(), _watermarks(bars), _now(bars), ["exchange", "symbol"])
+
+
+def _now(bars: DataFrame) -> Column:
+    return F.lit(bars.agg(F.max("datetime")).first()[0])
 
 
 def _watermarks(bars: DataFrame) -> DataFrame:
@@ -235,5 +238,5 @@ def incremental_bars(t: Tables) -> DataFrame:
     """A run with watermarks far enough back that the window holds more than the overlap."""
     bars = utc_bars(t)
     behind = _watermarks(bars).withColumn("watermark", F.col("watermark") - F.expr("INTERVAL '8' DAY"))
-    return incremental.incremental_bars(bars, behind, bars.agg(F.max("datetime")).scalar())
+    return incremental.incremental_bars(bars, behind, _now(bars))
 

@@ -41,8 +41,8 @@ class Tables:
         return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in zoned}) if zoned else rows
 
     def as_of(self, name: str = "trades", column: str = "Timestamp") -> Column:
-        """Newest time of a view: what stands for the clock."""
-        return self.view(name).agg(F.max(column)).scalar()
+        """Newest time of a view, which stands for the clock: one value, so that bounds are literals and reach the scan."""
+        return F.lit(self.view(name).agg(F.max(column)).first()[0])
 
 
 def oracle(needs: str, body: str) -> str:

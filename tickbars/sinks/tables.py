@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickbars import schemas
@@ -13,12 +13,16 @@ from tickbars.functions import ns_to_ntz
 from tickbars.operators.eventlog import event_rows
 from tickbars.operators.filters import filter_provider_stream
 from tickbars.operators.latest import canonical_upsert, upsert_into, with_natural_key
-from tickbars.session import shared_dir
+from tickbars.session import exists, shared_dir
 from tickbars.sources.quotes import flatten_quotes
 from tickbars.sources.trades import flatten_trades
 from tickbars.sources.vendor import flatten_bars
 
 
+# Folder names put into a filter as literals, so that other folders are not listed; with more, a join does it.
+MAX_LITERALS = 1000
+
+
 @dataclass(frozen=True)
 class Route:
     """How the ticks of one (provider, stream) become rows of a table."""
@@ -94,42 +98,49 @@ def write_journal(ticks: DataFrame, root: str) -> None:
     ticks.hint("rebalance", "batch_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(root)
 
 
-def canonical_merge(root: str, buckets: int = 64, ties: Iterable[str] = ()) -> Callable[[DataFrame, int], None]:
+def key_block(ids_per_block: int, days_per_block: int) -> Column:
+    """Folder of a natural key: a range of sequence ids, or of days for ticks without one.
+
+    Ranges, unlike hashes, keep a live batch to the few newest folders.
+    """
+    days = F.floor(F.col("ts_ns") / F.lit(days_per_block * 86_400_000_000_000))
+    ids = F.floor(F.col("seq") / F.lit(ids_per_block))
+    return F.when(F.col("seq").isNull(), F.concat(F.lit("t"), days)).otherwise(F.concat(F.lit("s"), ids))
+
+
+def canonical_merge(root: str, ties: Iterable[str] = (), ids_per_block: int = 10_000_000, days_per_block: int = 1) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that keeps the canonical table: one best row per natural key.
 
-    The table is partitioned by a hash of the natural key. Only buckets the batch touches are read,
-    merged into a staging folder and swapped in by a dynamic overwrite. A retry merges the same rows
-    again, which changes nothing.
+    The table is partitioned by blocks of keys. Only the blocks a batch touches are read, merged into
+    a staging folder and swapped in by a dynamic overwrite. A retry merges the same rows again, which
+    changes nothing.
     """
-    ties = tuple(ties)
-    bucket = F.pmod(F.xxhash64("provider", "stream", "symbol", "nat_key"), F.lit(buckets)).cast("int")
+    ties, folders = tuple(ties), ("provider", "stream", "block")
+
+    def write_blocks(rows: DataFrame, path: str) -> None:
+        rows.hint("rebalance", *folders).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(path)
 
     def write(ticks: DataFrame, batch_id: int) -> None:
         spark = ticks.sparkSession
         rows = ticks if "batch_id" in ticks.columns else ticks.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        best = canonical_upsert(with_natural_key(rows), ties).withColumn("bucket", bucket)
-        staging = shared_dir(spark, "canonical")
-        best.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{staging}/batch")
-        incoming = spark.read.parquet(f"{staging}/batch")
-        if not _exists(spark, root):
-            _overwrite_buckets(incoming, root)
+        best = canonical_upsert(with_natural_key(rows), ties).withColumn("block", key_block(ids_per_block, days_per_block))
+        if not exists(spark, root):
+            write_blocks(best, root)
             return
-        touched = [r[0] for r in incoming.select("bucket").distinct().collect()]  # at most ``buckets`` values
-        stored = spark.read.schema(incoming.schema).parquet(root).filter(F.col("bucket").isin(touched))
-        upsert_into(stored, incoming, ties).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{staging}/merged")
-        _overwrite_buckets(spark.read.schema(incoming.schema).parquet(f"{staging}/merged"), root)
+        staging = shared_dir(spark, "canonical")
+        write_blocks(best, f"{staging}/batch")
+        incoming = spark.read.schema(best.schema).parquet(f"{staging}/batch")
+        touched = incoming.select(*folders).distinct()
+        stored = spark.read.schema(best.schema).parquet(root)
+        few = [r[0] for r in touched.select("block").distinct().limit(MAX_LITERALS + 1).collect()]
+        if len(few) <= MAX_LITERALS:
+            stored = stored.filter(F.col("block").isin(few))
+        merged = upsert_into(stored.join(touched, list(folders), "left_semi").select(*best.columns), incoming, ties)
+        write_blocks(merged, f"{staging}/merged")
+        write_blocks(spark.read.schema(best.schema).parquet(f"{staging}/merged"), root)
     return write
 
 
-def _overwrite_buckets(rows: DataFrame, root: str) -> None:
-    rows.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(root)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
 def hot_dir(root: str, provider: str, stream: str, layout: str = "flat") -> str:
     """Folder of one stream: ``root/provider_stream``, or ``root/provider/stream`` when nested."""
     return f"{root}/{provider}/{stream}" if layout == "nested" else f"{root}/{provider}_{stream}"

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickbars import schemas
-from tickbars.functions import bar_id, event_order, price_volume, vwap
+from tickbars.functions import vwap
+from tickbars.operators.bars import finish_bars, rollup_aggregates, trade_aggregates
 
 
 def read_ticks(spark, path: str, schema, max_files: int | None = None) -> DataFrame:
@@ -21,24 +19,13 @@ def read_ticks(spark, path: str, schema, max_files: int | None = None) -> DataFr
     return stream.withColumns({c: F.col(c).cast("timestamp") for c in zoned}) if zoned else stream
 
 
-def _windowed(trades: DataFrame, period: str, keys: Sequence[str]) -> DataFrame:
-    order = event_order(F.col("Timestamp"), F.col("TradeID"))
-    return trades.groupBy(*keys, F.window("Timestamp", period).alias("w")).agg(
-        F.min_by("Price", order).alias("Open"),
-        F.max("Price").alias("High"),
-        F.min("Price").alias("Low"),
-        F.max_by("Price", order).alias("Close"),
-        F.sum("Quantity").alias("Volume"),
-        F.count(F.lit(1)).alias("Trades"),
-        F.sum(F.col("IsBuyerMaker").cast("int")).cast("bigint").alias("BuyerMakerCount"),
-        F.sum(F.col("Price") * F.col("Quantity")).alias("_pq"),
-    )
+def _windowed(trades: DataFrame, period_minutes: int, delay: str, *extra: Column) -> DataFrame:
+    return trades.withWatermark("Timestamp", delay).groupBy("Symbol", F.window("Timestamp", f"{period_minutes} minutes").alias("w")) \
+        .agg(*trade_aggregates(), *extra)
 
 
-def _exposed(bars: DataFrame, period_minutes: int) -> DataFrame:
-    start = F.col("w.start").cast("timestamp_ntz")
-    return bars.select("*", start.alias("Timestamp"), bar_id(start, period_minutes).alias("BarId"),
-                       vwap(F.col("_pq"), F.col("Volume")).alias("Vwap")).select(*schemas.TRADE_BAR_COLS)
+def _exposed(bars: DataFrame, period_minutes: int, others: tuple[str, ...] = ()) -> DataFrame:
+    return finish_bars(bars.withColumn("Timestamp", F.col("w.start").cast("timestamp_ntz")), period_minutes, others)
 
 
 def stream_bars(trades: DataFrame, period_minutes: int = 1, delay: str = "1 minute") -> DataFrame:
@@ -47,24 +34,24 @@ def stream_bars(trades: DataFrame, period_minutes: int = 1, delay: str = "1 minu
     In append mode a bar comes out once, when the watermark passes its end; in update mode on every
     change. The watermark is that of the whole stream, so progress of any symbol closes the bars of all.
     """
-    return _exposed(_windowed(trades.withWatermark("Timestamp", delay), f"{period_minutes} minutes", ["Symbol"]), period_minutes)
+    return _exposed(_windowed(trades, period_minutes, delay), period_minutes)
+
+
+def stream_changed_bars(trades: DataFrame, period_minutes: int = 1, delay: str = "1 minute") -> DataFrame:
+    """Bars with the times of the first and the last batch that touched them, for update mode.
+
+    The time of a batch is kept in its log, so a batch that is run again gives the same values.
+    """
+    seen = trades.withColumn("_seen", F.current_timestamp())
+    times = (F.min("_seen").alias("first_batch"), F.max("_seen").alias("last_batch"))
+    return _exposed(_windowed(seen, period_minutes, delay, *times), period_minutes, ("first_batch", "last_batch"))
 
 
 def stream_rollup(trades: DataFrame, period_minutes: int = 5, delay: str = "1 minute") -> DataFrame:
     """One-minute bars over a stream, rolled up again to longer bars; append mode."""
-    at = F.col("w.start")
-    ones = _windowed(trades.withWatermark("Timestamp", delay), "1 minute", ["Symbol"]).select("*", vwap(F.col("_pq"), F.col("Volume")).alias("_v"))
-    longer = ones.groupBy("Symbol", F.window("w", f"{period_minutes} minutes").alias("w5")).agg(
-        F.min_by("Open", at).alias("Open"),
-        F.max("High").alias("High"),
-        F.min("Low").alias("Low"),
-        F.max_by("Close", at).alias("Close"),
-        F.sum("Volume").alias("Volume"),
-        F.sum("Trades").alias("Trades"),
-        F.sum("BuyerMakerCount").alias("BuyerMakerCount"),
-        F.sum(price_volume(F.col("_v"), F.col("Volume"))).alias("_pq"),
-    )
-    return _exposed(longer.withColumnRenamed("w5", "w"), period_minutes)
+    ones = _windowed(trades, 1, delay).withColumn("Vwap", vwap(F.col("_pq"), F.col("Volume"))).drop("_pq")
+    longer = ones.groupBy("Symbol", F.window("w", f"{period_minutes} minutes").alias("longer")).agg(*rollup_aggregates(F.col("w.start")))
+    return _exposed(longer.withColumnRenamed("longer", "w"), period_minutes)
 
 
 def with_heartbeats(trades: DataFrame, beats: DataFrame, time_col: str = "Timestamp") -> DataFrame:

@@ -9,51 +9,43 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tickbars.functions import instant_to_ns
-from tickbars.operators.bars import bar_partials, finish_bars, merge_partials
 from tickbars.operators.feed import FeedSpec, gapless_feed, gapless_watermark
 from tickbars.operators.filters import filter_exchange, filter_symbol, project_fields
+from tickbars.operators.latest import best_per_key
+from tickbars.session import exists
 from tickbars.streaming.state import BatchFn, Versions, start
 
-MAX_DATES = 1000
+def bar_changes(out: str, state: str) -> BatchFn:
+    """A ``foreachBatch`` function over ``stream_changed_bars`` (update mode) that labels bar rows.
 
-
-def bar_changes(out: str, state: str, period_minutes: int = 1) -> BatchFn:
-    """A ``foreachBatch`` function that writes bar rows labelled added, updated or completed.
-
-    Each batch stores its partial bars by date; a bar's value is the merge of its partials. A bar is
-    added when this batch holds its first partial, updated when it holds a later one, and completed,
-    once, when a newer bar of its symbol exists. A bar that arrives behind the newest one is added
-    and completed at once. Late trades may change bars for ever, at the cost of the days they touch.
+    A bar is added in the first batch that holds trades of it and updated in later ones. It is
+    completed, once, when a newer bar of its symbol exists; one that arrives behind the newest is
+    added and completed at once. Bars themselves live in the engine's state; kept here is the open
+    bar of each symbol.
     """
-    store, newest = f"{state}/partials", Versions(f"{state}/newest")
-
-    def run(trades: DataFrame, batch_id: int) -> None:
-        spark = trades.sparkSession
-        at = F.col("Timestamp").cast("timestamp_ntz")
-        bar_partials(trades.withColumn("Timestamp", at), period_minutes).withColumn("date", F.to_date("Timestamp")) \
-            .write.mode("overwrite").partitionBy("date").parquet(f"{store}/v={batch_id}")
-        partials = spark.read.parquet(store).filter(F.col("v") <= batch_id)
-        keys = partials.filter(F.col("v") == batch_id).select("Symbol", "Timestamp", "date")
-        before = newest.before(spark, batch_id)
-        tops = keys.groupBy("Symbol").agg(F.max("Timestamp").alias("_newest"))
+    opened = Versions(state)
+
+    def run(changed: DataFrame, batch_id: int) -> None:
+        changed = changed.persist()
+        values = [c for c in changed.columns if c not in ("first_batch", "last_batch")]
+        before = opened.before(changed.sparkSession, batch_id)
         if before is None:
-            tops = tops.withColumn("_before", F.lit(None).cast("timestamp_ntz"))
-        else:
-            tops = tops.join(before.select("Symbol", F.col("_newest").alias("_before")), "Symbol", "full") \
-                .withColumn("_newest", F.greatest("_newest", "_before"))
-            open_before = before.select("Symbol", F.col("_newest").alias("Timestamp"), F.to_date("_newest").alias("date"))
-            keys = keys.unionByName(open_before).distinct()
-        dates = [r[0] for r in keys.select("date").distinct().limit(MAX_DATES + 1).collect()]
-        if len(dates) <= MAX_DATES:
-            partials = partials.filter(F.col("date").isin(dates))
-        merged = merge_partials(partials.join(keys, ["Symbol", "Timestamp", "date"], "left_semi"),
-                                F.min("v").alias("_first"), F.max("v").alias("_last"))
-        seen, now = F.col("_first") < batch_id, F.col("_last") == batch_id
-        done = (F.col("Timestamp") < F.col("_newest")) & ~(seen & F.coalesce(F.col("Timestamp") < F.col("_before"), F.lit(False)))
-        parts = F.array_compact(F.array(F.when(~seen, F.lit("added")), F.when(seen & now, F.lit("updated")), F.when(done, F.lit("completed"))))
-        labelled = merged.join(tops, "Symbol").withColumn("part", F.explode(parts))
-        finish_bars(labelled, period_minutes, ["part"]).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-        newest.write(tops.select("Symbol", "_newest"), batch_id)
+            before = changed.select(*values).limit(0)
+        known = before.select("Symbol", F.col("Timestamp").alias("_before"))
+        newest = changed.groupBy("Symbol").agg(F.max("Timestamp").alias("_newest"))
+
+        added = F.col("first_batch") == F.col("last_batch")
+        was_open = F.coalesce(F.col("Timestamp") == F.col("_before"), F.lit(False))
+        done = (F.col("Timestamp") < F.greatest("_newest", "_before")) & (added | was_open)
+        parts = F.array_compact(F.array(F.when(added, F.lit("added")).otherwise("updated"), F.when(done, F.lit("completed"))))
+        labelled = changed.join(newest, "Symbol").join(known, "Symbol", "left").select(*values, F.explode(parts).alias("part"))
+        untouched = before.join(changed.select("Symbol", "Timestamp"), ["Symbol", "Timestamp"], "left_anti") \
+            .join(newest, "Symbol").filter(F.col("Timestamp") < F.col("_newest")).select(*values, F.lit("completed").alias("part"))
+        labelled.unionByName(untouched).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+        bars = changed.select(*values, F.lit(1).alias("_rank")).unionByName(before.select(*values, F.lit(0).alias("_rank")))
+        opened.write(best_per_key(bars, ["Symbol"], F.col("Timestamp").desc(), F.col("_rank").desc()).drop("_rank"), batch_id)
+        changed.unpersist()
     return run
 
 
@@ -81,12 +73,16 @@ def attach_gapless(snapshot: DataFrame, live: DataFrame, spec: FeedSpec, emit: B
     """Emit a snapshot and its boundary, then the stream's rows after the watermark.
 
     ``live`` streams the same feed, from at least the watermark on. The snapshot goes out as batch
-    -1; a restart from the checkpoint goes on with live rows.
+    -1. Watermarks are kept beside the checkpoint: both sides use the same ones, and a restart goes on
+    from them with live rows.
     """
-    keys = list(spec.keys)
-    marks = gapless_watermark(snapshot, keys, spec.time_col, bars=bool(spec.bin_minutes)).persist()
-    nothing = snapshot.filter(F.lit(False))
-    emit(gapless_feed(snapshot, nothing, marks, keys, spec.time_col, include_open_bar=include_open_bar), -1)
+    keys, spark, kept = list(spec.keys), snapshot.sparkSession, f"{checkpoint}-watermarks"
+    attached = exists(spark, f"{kept}/_SUCCESS")
+    if not attached:
+        gapless_watermark(snapshot, keys, spec.time_col, bars=bool(spec.bin_minutes)).write.mode("overwrite").parquet(kept)
+    marks = spark.read.parquet(kept)
+    if not attached:
+        emit(gapless_feed(snapshot, snapshot.limit(0), marks, keys, spec.time_col, include_open_bar=include_open_bar), -1)
     later = live.join(marks.withColumnRenamed("watermark_ns", "_mark"), keys, "left") \
         .filter(F.col("_mark").isNull() | (instant_to_ns(F.col(spec.time_col)) > F.col("_mark"))).drop("_mark") \
         .withColumns({"phase": F.lit("live"), "part": F.lit("completed")})
