@@ -79,8 +79,7 @@ def canonical_upsert(ticks: DataFrame, ties: Sequence[str] = ()) -> DataFrame:
 
 def upsert_into(stored: DataFrame, batch: DataFrame, ties: Sequence[str] = ()) -> DataFrame:
     """Stored canonical rows after a batch of ticks: same rule, incremental form."""
-    incoming = canonical_upsert(batch, ties)
-    return canonical_upsert(stored.unionByName(incoming.select(*stored.columns)), ties)
+    return canonical_upsert(stored.unionByName(with_natural_key(batch).select(*stored.columns)), ties)
 
 
 def insert_new_keys(stored: DataFrame, incoming: DataFrame, keys: Sequence[str] = NATURAL_KEY) -> DataFrame:

@@ -1,60 +1,77 @@
 """Ordered scans per key that stay parallel when one key holds most of the rows.
 
-A window over a whole key runs in one task. Here each key is cut into slices, contiguous in the scan
-order; windows run inside slices, and a small table of one row per (key, slice) carries the state
-over slice borders. The slice number is a pure function of the row and of totals over the data, so
-a lost task gives the same slices again when it is re-run.
+A window over a whole key runs in one task. Here the scan order is cut into slices of about equal row
+counts; windows run inside (key, slice), and a small table of one row per (key, slice) carries the
+state over slice borders. The borders are quantiles of the data, so a burst of rows is cut finer,
+and they are fixed before the scan starts: a lost task finds the same slices when it is re-run.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICE = "_slice"
 ROWS_PER_SLICE = 1_000_000
+MAX_SLICES = 8192
+
+
+def _borders(df: DataFrame, order: str, rows_per_slice: int) -> list[float]:
+    """Quantiles that cut the rows into slices; at most ``MAX_SLICES`` numbers, whatever the data."""
+    rows = df.select(order).filter(F.col(order).isNotNull())
+    size = rows.count()
+    slices = min(MAX_SLICES, -(-size // rows_per_slice))
+    if slices <= 1:
+        return []
+    fractions = [i / slices for i in range(1, slices)]
+    cuts = rows.agg(F.percentile_approx(F.col(order).cast("double"), fractions, 10 * slices)).first()[0]
+    return sorted(set(cuts))
 
 
 def with_slices(df: DataFrame, order: str, *, width: int | None = None,
-                rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """Add the slice number of the whole-number column ``order``.
+                rows_per_slice: int = ROWS_PER_SLICE) -> tuple[DataFrame, bool]:
+    """Add the slice number of the whole-number column ``order``; also says if there is one slice only.
 
-    Without ``width`` it is set from the span and row count of the data, read by a scalar subquery
-    over that one column.
+    Reads the order column once, or twice when there is more than one slice, to set the borders. A
+    declared ``width`` gives slices of that span and reads nothing.
     """
-    if width is None:
-        span = F.max(order) - F.min(order) + 1
-        slices = F.ceil(F.count(order) / F.lit(rows_per_slice))
-        chosen = df.agg(F.greatest(F.lit(1), F.ceil(span / F.greatest(slices, F.lit(1)))).cast("bigint").alias("w"))
-        size = F.coalesce(chosen.scalar(), F.lit(1))
-    else:
-        size = F.lit(int(width))
-    return df.withColumn(SLICE, F.floor(F.col(order) / size).cast("bigint"))
+    if width is not None:
+        return df.withColumn(SLICE, F.floor(F.col(order) / F.lit(int(width))).cast("bigint")), False
+    borders = _borders(df, order, rows_per_slice)
+    if not borders:
+        return df.withColumn(SLICE, F.lit(0).cast("bigint")), True
+    cut = Bucketizer(splits=[float("-inf"), *borders, float("inf")], inputCol="_position", outputCol=SLICE, handleInvalid="keep")
+    placed = cut.transform(df.withColumn("_position", F.col(order).cast("double"))).drop("_position")
+    return placed.withColumn(SLICE, F.col(SLICE).cast("bigint")), False
 
 
 def in_slice(keys: Sequence[str], *order: Column | str) -> Window:
     return Window.partitionBy(*keys, SLICE).orderBy(*order)
 
 
-def carried(df: DataFrame, keys: Sequence[str], summary: dict[str, Column], carry: dict[str, Column]) -> DataFrame:
-    """Join to every row what the earlier slices of its key leave behind.
+def carried(df: DataFrame, keys: Sequence[str], summary: dict[str, Column], carry: dict[str, Column], single: bool = False) -> DataFrame:
+    """Join to every row what the earlier slices of its key leave behind; null where there are none.
 
     ``summary`` are aggregates of one slice; ``carry`` are functions over those, evaluated over all
     earlier slices. Keys must not be null. The carried side has one row per slice; whether it is
-    broadcast is left to the engine, which checks its size.
+    broadcast is left to the engine, which checks its size. With a single slice nothing is read.
     """
     per_slice = df.groupBy(*keys, SLICE).agg(*[agg.alias(name) for name, agg in summary.items()])
     earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     state = per_slice.select(*keys, SLICE, *[fn.over(earlier).alias(name) for name, fn in carry.items()])
+    if single:
+        types = dict(state.dtypes)
+        return df.withColumns({name: F.lit(None).cast(types[name]) for name in carry})
     return df.join(state, [*keys, SLICE], "left")
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: str, *ties: Column | str, name: str = "row_no",
              width: int | None = None, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Row number from 1 within each key, in the order of the whole-number column and the ties."""
-    sliced = with_slices(df, order, width=width, rows_per_slice=rows_per_slice)
-    joined = carried(sliced, keys, {"_n": F.count(F.lit(1))}, {"_before": F.sum("_n")})
+    sliced, single = with_slices(df, order, width=width, rows_per_slice=rows_per_slice)
+    joined = carried(sliced, keys, {"_n": F.count(F.lit(1))}, {"_before": F.sum("_n")}, single)
     inside = F.row_number().over(in_slice(keys, order, *ties))
     return joined.withColumn(name, (F.coalesce("_before", F.lit(0)) + inside).cast("bigint")).drop("_before", SLICE)

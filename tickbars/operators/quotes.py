@@ -30,9 +30,9 @@ def quote_state(updates: DataFrame, key: str = "sub_key", arrival: str = "arriva
     def last_known(name: str) -> Column:
         return F.max_by(F.col(name), F.when(F.col(name).isNotNull(), F.col(arrival)))
 
-    sliced = with_slices(updates, arrival, width=width, rows_per_slice=rows_per_slice)
+    sliced, single = with_slices(updates, arrival, width=width, rows_per_slice=rows_per_slice)
     joined = carried(sliced, [key], {f"_s_{f}": last_known(f) for f in fields},
-                     {f"_c_{f}": F.last(f"_s_{f}", ignorenulls=True) for f in fields})
+                     {f"_c_{f}": F.last(f"_s_{f}", ignorenulls=True) for f in fields}, single)
     carry = {f: F.col(f"_c_{f}") for f in fields}
     drops = list(carry.values())
     if stored is not None:

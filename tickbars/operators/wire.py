@@ -67,7 +67,7 @@ def wire_envelope(rows: DataFrame, order: str, *ties: str, row: str = "row", row
     ``order``, a whole number. A row whose ``order`` is null makes an envelope without rows (the
     boundary). ``rows_per_envelope=1`` gives one envelope per row. Sequence numbers run from 0
     per stream; they come from row counts per (stream, phase, part), so envelopes never gather in one
-    task.
+    task. Reads ``rows`` several times: pass a stored table.
     """
     stream = ("provider", "data_schema", "symbol")
     group = (*stream, "phase", "_part")

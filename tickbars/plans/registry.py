@@ -21,6 +21,7 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark = configure(spark)
         self.dir = sf_dir.rstrip("/")
+        self._known: dict[str, DataFrame] = {}
 
     def path(self, name: str) -> str:
         return f"{self.dir}/{name}.parquet"
@@ -30,11 +31,18 @@ class Tables:
         return f"{self.dir}/{name}.parque[t]"
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        if name not in self._known:
+            self._known[name] = self.spark.read.parquet(self.path(name))
+        return self._known[name]
 
     def view(self, name: str) -> DataFrame:
         if name not in VIEWS:
             return self.table(name)
+        if name not in self._known:
+            self._known[name] = self._view(name)
+        return self._known[name]
+
+    def _view(self, name: str) -> DataFrame:
         needs, text = VIEWS[name]
         rows = self.spark.sql(text, **{n: self.view(n) for n in needs})
         zoned = [c for c, kind in rows.dtypes if kind == "timestamp"]

@@ -10,6 +10,7 @@ from tickbars.operators import wire
 from tickbars.plans.bars import bars_1m, bars_5m
 from tickbars.plans.quotes import quotes_table
 from tickbars.plans.registry import Tables, query
+from tickbars.session import materialized
 from tickbars.sinks.tables import rows_to_ndjson
 
 _ISO = """CASE WHEN epoch_us({c}) % 1000000 = 0 THEN strftime({c}, '%Y-%m-%dT%H:%M:%SZ') ELSE strftime({c}, '%Y-%m-%dT%H:%M:%S.%fZ') END"""
@@ -66,7 +67,7 @@ def _feed(t: Tables) -> DataFrame:
 
 
 def envelopes(t: Tables) -> DataFrame:
-    return wire.wire_envelope(_feed(t), "at", row_type="bar", only_completed=True, rows_per_envelope=_ROWS)
+    return wire.wire_envelope(materialized(_feed(t), "feed"), "at", row_type="bar", only_completed=True, rows_per_envelope=_ROWS)
 
 
 _NUMBERED = f"""

@@ -13,7 +13,7 @@ from tickbars.functions import ns_to_ntz
 from tickbars.operators.eventlog import event_rows
 from tickbars.operators.filters import filter_provider_stream
 from tickbars.operators.latest import canonical_upsert, upsert_into, with_natural_key
-from tickbars.session import exists, shared_dir
+from tickbars.session import exists, remove
 from tickbars.sources.quotes import flatten_quotes
 from tickbars.sources.trades import flatten_trades
 from tickbars.sources.vendor import flatten_bars
@@ -111,9 +111,9 @@ def key_block(ids_per_block: int, days_per_block: int) -> Column:
 def canonical_merge(root: str, ties: Iterable[str] = (), ids_per_block: int = 10_000_000, days_per_block: int = 1) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that keeps the canonical table: one best row per natural key.
 
-    The table is partitioned by blocks of keys. Only the blocks a batch touches are read, merged into
-    a staging folder and swapped in by a dynamic overwrite. A retry merges the same rows again, which
-    changes nothing.
+    The table is partitioned by blocks of keys. Only the blocks a batch touches are read; their merged
+    rows go to a staging folder, complete or not at all, and from there replace the blocks. A batch
+    that failed while replacing goes on from its staging folder; one that failed before merges again.
     """
     ties, folders = tuple(ties), ("provider", "stream", "block")
 
@@ -121,26 +121,30 @@ def canonical_merge(root: str, ties: Iterable[str] = (), ids_per_block: int = 10
         rows.hint("rebalance", *folders).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(path)
 
     def write(ticks: DataFrame, batch_id: int) -> None:
-        spark = ticks.sparkSession
+        spark, staging = ticks.sparkSession, f"{root}-staging/batch={batch_id}"
         rows = ticks if "batch_id" in ticks.columns else ticks.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        best = canonical_upsert(with_natural_key(rows), ties).withColumn("block", key_block(ids_per_block, days_per_block))
-        if not exists(spark, root):
-            write_blocks(best, root)
-            return
-        staging = shared_dir(spark, "canonical")
-        write_blocks(best, f"{staging}/batch")
-        incoming = spark.read.schema(best.schema).parquet(f"{staging}/batch")
-        touched = incoming.select(*folders).distinct()
-        stored = spark.read.schema(best.schema).parquet(root)
-        few = [r[0] for r in touched.select("block").distinct().limit(MAX_LITERALS + 1).collect()]
-        if len(few) <= MAX_LITERALS:
-            stored = stored.filter(F.col("block").isin(few))
-        merged = upsert_into(stored.join(touched, list(folders), "left_semi").select(*best.columns), incoming, ties)
-        write_blocks(merged, f"{staging}/merged")
-        write_blocks(spark.read.schema(best.schema).parquet(f"{staging}/merged"), root)
+        rows = with_natural_key(rows).withColumn("block", key_block(ids_per_block, days_per_block))
+        if not exists(spark, f"{staging}/_SUCCESS"):
+            if exists(spark, root):
+                rows = rows.persist()
+                merged = upsert_into(_touched_blocks(spark.read.schema(rows.schema).parquet(root), rows, folders).select(*rows.columns), rows, ties)
+            else:
+                merged = canonical_upsert(rows, ties)
+            write_blocks(merged, staging)
+            rows.unpersist()
+        write_blocks(spark.read.schema(rows.schema).parquet(staging), root)
+        remove(spark, staging)
     return write
 
 
+def _touched_blocks(stored: DataFrame, rows: DataFrame, folders: tuple[str, ...]) -> DataFrame:
+    touched = rows.select(*folders).distinct()
+    few = [r[0] for r in touched.select("block").distinct().limit(MAX_LITERALS + 1).collect()]
+    if len(few) <= MAX_LITERALS:
+        stored = stored.filter(F.col("block").isin(few))
+    return stored.join(touched, list(folders), "left_semi")
+
+
 def hot_dir(root: str, provider: str, stream: str, layout: str = "flat") -> str:
     """Folder of one stream: ``root/provider_stream``, or ``root/provider/stream`` when nested."""
     return f"{root}/{provider}/{stream}" if layout == "nested" else f"{root}/{provider}_{stream}"

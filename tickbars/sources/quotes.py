@@ -11,7 +11,7 @@ from tickbars import schemas
 from tickbars.functions import ns_to_ntz, s_to_ns, split_exchange_symbol, to_double
 
 
-@F.udtf(returnType="frame STRING")
+@F.udtf(returnType="frame STRING", useArrow=True)
 class _Frames:
     """Messages of one length-prefixed text; stops at the first malformed frame."""
 

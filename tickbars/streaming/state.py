@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from tickbars.session import remove
+
 BatchFn = Callable[[DataFrame, int], None]
 
 
@@ -44,10 +46,5 @@ class Versions:
 
     def write(self, state: DataFrame, batch_id: int) -> None:
         state.write.mode("overwrite").parquet(f"{self.path}/v={batch_id}")
-        self._drop(state.sparkSession, batch_id - 2)
-
-    def _drop(self, spark: SparkSession, version: int) -> None:
-        if version < 0:
-            return
-        old = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={version}")
-        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        if batch_id >= 2:
+            remove(state.sparkSession, f"{self.path}/v={batch_id - 2}")
