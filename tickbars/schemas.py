@@ -30,9 +30,6 @@ UNIFIED_BAR_COLS = ("Timestamp", "Exchange", "Symbol", "BarId", "Open", "High",
 UNIFIED_BAR_FILLED_COLS = UNIFIED_BAR_COLS + ("IsEmpty",)
 TICK_COLS = ("provider", "stream", "symbol", "ts_ns", "seq", "payload", "is_final")
 
-# Raw trade messages use keys that differ only in case (t, T), so they are parsed as maps.
-JSON_FIELDS = "MAP<STRING, STRING>"
-
 QUOTE_UPDATE = ("STRUCT<n: STRING, v: STRUCT<lp: STRING, bid: STRING, ask: STRING, volume: STRING, "
                 "ch: STRING, chp: STRING, lp_time: STRING>>")
 

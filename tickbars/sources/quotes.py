@@ -2,40 +2,45 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickbars import schemas
 from tickbars.functions import ns_to_ntz, s_to_ns, split_exchange_symbol, to_double
 
 
-@F.udtf(returnType="frame STRING", useArrow=True)
-class _Frames:
+_MARK = "~m~"
+
+
+def _split_frames(text: str | None) -> list[str]:
     """Messages of one length-prefixed text; stops at the first malformed frame."""
+    frames, at = [], 0
+    while text is not None and text.startswith(_MARK, at):
+        start = at + len(_MARK)
+        end = text.find(_MARK, start)
+        size = text[start:end].strip() if end >= 0 else ""
+        if not size.isdecimal():
+            break
+        body = end + len(_MARK)
+        at = body + int(size)
+        frames.append(text[body:at])
+    return frames
 
-    def eval(self, text: str) -> Iterator[tuple[str]]:
-        mark = "~m~"
-        at = 0
-        while text is not None and text.startswith(mark, at):
-            start = at + len(mark)
-            end = text.find(mark, start)
-            size = text[start:end].strip() if end >= 0 else ""
-            if not size.isdecimal():
-                return
-            body = end + len(mark)
-            at = body + int(size)
-            yield (text[body:at],)
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _frames(texts: pd.Series) -> pd.Series:
+    return texts.map(_split_frames)
 
 
 def explode_frames(raw: DataFrame, column: str = "value") -> DataFrame:
-    """One row per JSON message of each framed text; heartbeats and broken JSON are dropped."""
-    raw.sparkSession.udtf.register("tickbars_frames", _Frames)
-    others = ", ".join(f"t.`{c}`" for c in raw.columns if c != column)
-    select = f"{others}, " if others else ""
-    frames = raw.sparkSession.sql(
-        f"SELECT {select}f.frame AS `{column}` FROM {{raw}} AS t, LATERAL tickbars_frames(t.`{column}`) AS f", raw=raw)
+    """One row per JSON message of each framed text; heartbeats and broken JSON are dropped.
+
+    Lengths decide where a frame ends, so a text has to be walked through; only that step runs in
+    Python, over Arrow batches.
+    """
+    frames = raw.withColumn(column, F.explode(_frames(F.col(column))))
     return frames.filter(~F.col(column).startswith("~h~") & F.try_parse_json(column).isNotNull())
 
 

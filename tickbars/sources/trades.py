@@ -21,6 +21,16 @@ def _tick(symbol: Column, ts_ns: Column, seq: Column, payload: Column) -> list[C
     ]
 
 
+def _fields(text: Column, **keys: str) -> Column:
+    """JSON keys as text fields under other names.
+
+    The messages use keys that differ only in case (``t``, ``T``), which field access cannot tell
+    apart; the cast renames fields by position.
+    """
+    parsed = F.from_json(text, ", ".join(f"`{key}` STRING" for key in keys.values()))
+    return parsed.cast("struct<" + ", ".join(f"{name}: string" for name in keys) + ">")
+
+
 def _flag(text: Column) -> Column:
     return F.coalesce(text.try_cast("boolean"), F.lit(False))
 
@@ -28,16 +38,17 @@ def _flag(text: Column) -> Column:
 def parse_trade_json(raw: DataFrame, column: str = "value") -> DataFrame:
     """Live trade messages, plain or wrapped in ``{"stream", "data"}``, to ticks."""
     body = F.coalesce(F.get_json_object(column, "$.data"), F.col(column))
-    m = F.col("fields")
+    m = F.col("m")
     payload = F.struct(
-        to_double(m["p"]).alias("Price"),
-        to_double(m["q"]).alias("Quantity"),
-        F.coalesce(to_long(m["b"]), F.lit(0)).alias("BuyerID"),
-        F.coalesce(to_long(m["a"]), F.lit(0)).alias("SellerID"),
-        _flag(m["m"]).alias("IsBuyerMaker"),
+        to_double(m["price"]).alias("Price"),
+        to_double(m["quantity"]).alias("Quantity"),
+        F.coalesce(to_long(m["buyer"]), F.lit(0)).alias("BuyerID"),
+        F.coalesce(to_long(m["seller"]), F.lit(0)).alias("SellerID"),
+        _flag(m["maker"]).alias("IsBuyerMaker"),
     )
-    return raw.select(F.from_json(body, schemas.JSON_FIELDS).alias("fields")) \
-        .select(*_tick(m["s"], ms_to_ns(to_long(m["T"])), to_long(m["t"]), payload))
+    fields = _fields(body, symbol="s", id="t", ms="T", price="p", quantity="q", buyer="b", seller="a", maker="m")
+    return raw.select(fields.alias("m")) \
+        .select(*_tick(m["symbol"], ms_to_ns(to_long(m["ms"])), to_long(m["id"]), payload))
 
 
 def parse_trade_rest(raw: DataFrame, column: str = "value", symbol: str | None = None) -> DataFrame:
@@ -45,25 +56,28 @@ def parse_trade_rest(raw: DataFrame, column: str = "value", symbol: str | None =
 
     A key holding 0 or empty text counts as missing and the next alternative is tried.
     """
-    m = F.col("fields")
+    m = F.col("m")
 
-    def first_id(*keys: str) -> Column:
-        return F.coalesce(*[truthy(to_long(m[k]), 0) for k in keys])
+    def first_id(*names: str) -> Column:
+        return F.coalesce(*[truthy(to_long(m[n]), 0) for n in names])
 
-    def first_text(*keys: str) -> Column:
-        return F.coalesce(*[truthy(m[k], "") for k in keys])
+    def first_text(*names: str) -> Column:
+        return F.coalesce(*[truthy(m[n], "") for n in names])
 
     payload = F.struct(
-        F.coalesce(to_double(first_text("price", "p")), F.lit(0.0)).alias("Price"),
-        F.coalesce(to_double(first_text("qty", "q")), F.lit(0.0)).alias("Quantity"),
-        F.coalesce(to_long(m["b"]), F.lit(0)).alias("BuyerID"),
-        F.coalesce(to_long(m["a"]), F.lit(0)).alias("SellerID"),
-        (_flag(m["isBuyerMaker"]) | _flag(m["m"])).alias("IsBuyerMaker"),
+        F.coalesce(to_double(first_text("price", "price_short")), F.lit(0.0)).alias("Price"),
+        F.coalesce(to_double(first_text("quantity", "quantity_short")), F.lit(0.0)).alias("Quantity"),
+        F.coalesce(to_long(m["buyer"]), F.lit(0)).alias("BuyerID"),
+        F.coalesce(to_long(m["seller"]), F.lit(0)).alias("SellerID"),
+        (_flag(m["maker"]) | _flag(m["maker_short"])).alias("IsBuyerMaker"),
     )
-    named = F.lit(symbol) if symbol else F.coalesce(first_text("symbol", "s"), F.lit(""))
-    ts_ns = F.coalesce(ms_to_ns(first_id("time", "T", "tradeTime", "timestamp")), F.lit(0))
-    return raw.select(F.from_json(column, schemas.JSON_FIELDS).alias("fields")) \
-        .select(*_tick(F.upper(named), ts_ns, first_id("id", "tradeId", "t"), payload))
+    fields = _fields(F.col(column), id="id", id_long="tradeId", id_short="t", ms="time", ms_short="T", ms_long="tradeTime", ms_full="timestamp",
+                     price="price", price_short="p", quantity="qty", quantity_short="q", maker="isBuyerMaker", maker_short="m",
+                     symbol="symbol", symbol_short="s", buyer="b", seller="a")
+    named = F.lit(symbol) if symbol else F.coalesce(first_text("symbol", "symbol_short"), F.lit(""))
+    ts_ns = F.coalesce(ms_to_ns(first_id("ms", "ms_short", "ms_long", "ms_full")), F.lit(0))
+    return raw.select(fields.alias("m")) \
+        .select(*_tick(F.upper(named), ts_ns, first_id("id", "id_long", "id_short"), payload))
 
 
 def flatten_trades(ticks: DataFrame) -> DataFrame:
