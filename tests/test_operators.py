@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tickbars.operators import bars, batches, bins, eventlog, feed, filters, gaps, incremental, latest, ordered, paging, quotes, stitch, wire
+from tickbars.operators import bars, batches, bins, catalog, eventlog, feed, filters, gaps, incremental, latest, ordered, paging, quotes, stitch, wire
 
 T0 = datetime(2024, 1, 1, 10)
 
@@ -406,3 +406,25 @@ def test_snapshot_arguments(spark):
         feed.snapshot_range(sources, "binance", "trades", ["A"])
     assert feed.list_feeds("binance") == [("binance", "trades"), ("binance", "ohlcv_1m"), ("binance", "ohlcv_5m")]
     assert feed.snapshot_range(sources, "binance", "trades", "A", fields=["Price"]).columns == ["Timestamp", "Symbol", "Price"]
+
+
+def test_public_tables(spark):
+    def empty(*cols):
+        return spark.createDataFrame([], ", ".join(cols))
+
+    log = empty("service STRING", "name STRING", "role STRING", "state STRING", "started_at TIMESTAMP_NTZ", "last_heartbeat TIMESTAMP_NTZ", "last_error STRING", "meta STRING", "seqcol BIGINT")
+    t = random_trades(spark, 30).withColumns({"EventType": F.lit("trade"), "EventTime": F.col("Timestamp"), "BuyerID": F.lit(1), "SellerID": F.lit(2)})
+    quotes_table = t.select(F.lit("CME").alias("Exchange"), "Symbol", F.col("Timestamp").alias("LpTime"), F.col("Price").alias("LastPrice"), F.col("Price").alias("Bid"),
+                            F.col("Price").alias("Ask"), F.col("Quantity").alias("Volume"), F.lit(None).cast("double").alias("Change"),
+                            F.lit(None).cast("double").alias("ChangePct"), F.col("Quantity").alias("VolDelta"), F.col("TradeID").alias("arrival"))
+    vendor = _unified(spark, [("cme", "a", at(m), 1.0, True, m) for m in range(6)])
+    sources = {"trades": t, "quotes": quotes_table, "bars": vendor, "heartbeats": log,
+               "eventlog": empty("ts TIMESTAMP", *[f"{c} STRING" for c in ("service", "name", "role", "level", "code", "message", "meta", "corr_id", "parent_corr_id")]),
+               "status": empty("provider STRING", "feeder STRING", "alive BOOLEAN", "seqcol BIGINT"), "configs": empty("provider STRING", "name STRING", "deleted BOOLEAN", "seqcol BIGINT"),
+               "changes": empty("provider STRING", "schema STRING", "symbol STRING", "part STRING", "batch_id BIGINT")}
+    sizes = {name: catalog.table(name, sources, F.lit(at(59, 59))).count() for name in catalog.TABLES}
+    assert sizes["binance_trades"] == 30 and sizes["bins_1m_recent"] == 2 and sizes["binance_ohlcv_5m_filled"] == 4 and sizes["tv_bars_deduped"] == 6
+    assert sizes["tv_bars_1m"] >= 6 and sizes["status"] == sizes["fanout_stats"] == 0
+    assert tuple(catalog.table("binance_ohlcv_1m_filled", sources, F.lit(at(1))).columns)[-1] == "IsEmpty"
+    with pytest.raises(ValueError):
+        catalog.table("nothing", sources)
