@@ -8,18 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickbars.operators.bars import trade_bars
-from tickbars.operators.paging import fetch_window, repaint_overlap
+from tickbars.operators.paging import newest_of_known, window_start
 
 
 def incremental_bars(fetched: DataFrame, watermarks: DataFrame, as_of: Column, keys: Sequence[str] = ("exchange", "symbol"), *,
-                     days_back: int = 10, overlap: int = 5, max_bars: int = 5000) -> DataFrame:
+                     days_back: int = 10, overlap: int = 5) -> DataFrame:
     """Bars one scheduled run emits: those in each symbol's window, then all on its first run, else
     the newest ``overlap`` ones, which replace their earlier versions downstream."""
-    symbols = fetched.select(*keys).distinct()
-    windows = fetch_window(symbols, watermarks, as_of, keys, days_back=days_back, overlap_minutes=overlap, max_bars=max_bars)
-    inside = fetched.join(windows, list(keys)).filter(F.col("datetime").between(F.col("window_start"), F.col("window_end"))) \
-        .select(*fetched.columns)
-    return repaint_overlap(inside, watermarks, keys, "datetime", overlap)
+    inside = fetched.join(watermarks.select(*keys, "watermark"), list(keys), "left") \
+        .filter(F.col("datetime").between(window_start(as_of, days_back, overlap), as_of))
+    return newest_of_known(inside, F.col("watermark").isNotNull(), keys, "datetime", overlap).select(*fetched.columns)
 
 
 def advance_watermarks(watermarks: DataFrame, emitted: DataFrame, keys: Sequence[str] = ("exchange", "symbol")) -> DataFrame:

@@ -41,16 +41,19 @@ def newest_first(df: DataFrame, *order: str) -> DataFrame:
     return df.orderBy(*[F.col(c).desc() for c in order])
 
 
+def window_start(as_of: Column, days_back: int, overlap_minutes: int) -> Column:
+    """Start of the range to fetch, for rows with a ``watermark`` column."""
+    return F.coalesce(F.col("watermark") - F.expr(f"INTERVAL '{int(overlap_minutes)}' MINUTE"), as_of - F.expr(f"INTERVAL '{int(days_back)}' DAY"))
+
+
 def fetch_window(symbols: DataFrame, watermarks: DataFrame, as_of: Column, keys: Sequence[str] = ("symbol",), *,
                  days_back: int = 10, overlap_minutes: int = 5, max_bars: int = 5000) -> DataFrame:
     """Per symbol the time range to fetch and the number of one-minute bars in it.
 
     Without a watermark the range goes back ``days_back`` days, else to the watermark less the overlap.
     """
-    start = F.coalesce(F.col("watermark") - F.expr(f"INTERVAL '{int(overlap_minutes)}' MINUTE"),
-                       as_of - F.expr(f"INTERVAL '{int(days_back)}' DAY"))
     ranges = symbols.join(watermarks.select(*keys, "watermark"), list(keys), "left") \
-        .withColumn("window_start", start).withColumn("window_end", as_of)
+        .withColumn("window_start", window_start(as_of, days_back, overlap_minutes)).withColumn("window_end", as_of)
     micros = F.unix_micros(F.col("window_end").cast("timestamp")) - F.unix_micros(F.col("window_start").cast("timestamp"))
     bars = F.least(F.greatest(F.floor(micros / F.lit(60_000_000)), F.lit(1)), F.lit(max_bars)).cast("bigint")
     return ranges.select(*keys, "window_start", "window_end", bars.alias("n_bars"))
@@ -62,9 +65,13 @@ def repaint_overlap(bars: DataFrame, watermarks: DataFrame, keys: Sequence[str],
     The cutoff comes from the N newest rows of a key; the group limit in front of the shuffle keeps
     N rows per key and input task.
     """
+    known = bars.join(watermarks.select(*keys).distinct().withColumn("_known", F.lit(True)), list(keys), "left")
+    return newest_of_known(known, F.col("_known").isNotNull(), keys, time_col, overlap).select(*bars.columns)
+
+
+def newest_of_known(bars: DataFrame, known: Column, keys: Sequence[str], time_col: str, overlap: int) -> DataFrame:
+    """All rows of keys not known yet; of the others those from the N-th newest on."""
     w = Window.partitionBy(*keys).orderBy(F.col(time_col).desc())
-    newest = bars.select(*keys, time_col).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= overlap)
+    newest = bars.filter(known).select(*keys, time_col).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= overlap)
     cutoff = newest.groupBy(*keys).agg(F.min(time_col).alias("_cutoff"))
-    known = watermarks.select(*keys).distinct().withColumn("_known", F.lit(True))
-    return bars.join(cutoff.join(known, list(keys), "left"), list(keys)) \
-        .filter(F.col("_known").isNull() | (F.col(time_col) >= F.col("_cutoff"))).select(*bars.columns)
+    return bars.join(cutoff, list(keys), "left").filter(F.col("_cutoff").isNull() | (F.col(time_col) >= F.col("_cutoff")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tickbars import schemas
 from tickbars.functions import bar_id
 from tickbars.operators.bins import natural_join
-from tickbars.operators.latest import best_per_key, dedupe_bars, last_bar_time
+from tickbars.operators.latest import dedupe_bars, last_bar_time, upper_keys
 
 _KEY = ("Exchange", "Symbol", "Timestamp")
 _VALUES = ("Open", "High", "Low", "Close", "Volume", "IsFinal")
@@ -22,10 +22,11 @@ def after_last_bar(provisional: DataFrame, last: DataFrame) -> DataFrame:
 
 
 def stitch_bars(vendor_bars: DataFrame, provisional: DataFrame, arrival: str = "arrival") -> DataFrame:
-    """Vendor bars, de-duplicated, then quote bars after them; a final bar outranks a provisional one."""
-    authoritative = dedupe_bars(vendor_bars, arrival)
-    kept = after_last_bar(provisional, last_bar_time(authoritative))
-    union = authoritative.select(*_KEY, *_VALUES, F.col(arrival).cast("bigint").alias("_arrival")) \
-        .unionByName(kept.select(*_KEY, *_VALUES, F.lit(None).cast("bigint").alias("_arrival")))
-    best = best_per_key(union, _KEY, F.when(F.col("IsFinal"), 2).otherwise(1).desc(), F.col("_arrival").desc_nulls_first())
-    return best.withColumn("BarId", bar_id(F.col("Timestamp"), 1)).select(*schemas.UNIFIED_BAR_COLS)
+    """Vendor bars, the last arrival of each, then the quote bars after them.
+
+    A provisional bar stays only behind the newest authoritative bar of its symbol, so the two sides
+    share no key and an authoritative bar always outranks a provisional one without another ranking.
+    """
+    kept = after_last_bar(provisional, last_bar_time(upper_keys(vendor_bars)))
+    union = dedupe_bars(vendor_bars, arrival).select(*_KEY, *_VALUES).unionByName(kept.select(*_KEY, *_VALUES))
+    return union.withColumn("BarId", bar_id(F.col("Timestamp"), 1)).select(*schemas.UNIFIED_BAR_COLS)
