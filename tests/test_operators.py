@@ -428,3 +428,25 @@ def test_public_tables(spark):
     assert tuple(catalog.table("binance_ohlcv_1m_filled", sources, F.lit(at(1))).columns)[-1] == "IsEmpty"
     with pytest.raises(ValueError):
         catalog.table("nothing", sources)
+
+
+@pytest.mark.parametrize("width", [1, None])
+def test_updates_of_one_message_keep_their_order(spark, width):
+    rows = [("K", 1, 0, 1.0, 10.0), ("K", 1, 1, None, 30.0), ("K", 1, 2, 3.0, 20.0), ("K", 2, 0, None, 50.0)]
+    df = spark.createDataFrame(rows, "sub_key STRING, arrival BIGINT, pos INT, lp DOUBLE, volume DOUBLE").repartition(4)
+    out = quotes.quote_state(df, ties=["pos"], width=width).orderBy("arrival", "pos").collect()
+    assert [(r.lp, r.vol_delta) for r in out] == [(1.0, 0.0), (1.0, 20.0), (3.0, 0.0), (3.0, 30.0)]
+    assert tuple(quotes.last_state(df, ties=["pos"]).first()) == ("K", 3.0, 50.0)
+
+
+def test_a_burst_is_cut_like_any_other_time(spark):
+    df = spark.range(3000).select(F.lit("A").alias("symbol"), (F.col("id") * 2).alias("seq"), F.when(F.col("id") < 2900, F.col("id")).otherwise(10 ** 12 + F.col("id")).alias("arrival"))
+    sliced, single = ordered.with_slices(df, "arrival", rows_per_slice=100)
+    sizes = [r["count"] for r in sliced.groupBy("_slice").count().collect()]
+    assert not single and len(sizes) == 30 and max(sizes) <= 120
+    assert len(_arrival(df, rows_per_slice=100)) == 2999
+
+
+def test_clock_is_a_stream(spark):
+    from tickbars.streaming.bars import clock
+    assert clock(spark).isStreaming and clock(spark).columns == ["Timestamp"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,12 @@ def known_subscriptions(updates: DataFrame, subscribed: DataFrame, key: str = "s
     return updates.join(subscribed.select(key), key, "left_semi")
 
 
-def quote_state(updates: DataFrame, key: str = "sub_key", arrival: str = "arrival", *,
+def _last_known(name: str, arrival: str, ties: Sequence[str]) -> Column:
+    order = F.struct(arrival, *ties) if ties else F.col(arrival)
+    return F.max_by(F.col(name), F.when(F.col(name).isNotNull(), order))
+
+
+def quote_state(updates: DataFrame, key: str = "sub_key", arrival: str = "arrival", *, ties: Sequence[str] = (),
                 fields: tuple[str, ...] | None = None, stored: DataFrame | None = None,
                 arrival_ns: Column | None = None, width: int | None = None,
                 rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
@@ -23,15 +30,12 @@ def quote_state(updates: DataFrame, key: str = "sub_key", arrival: str = "arriva
 
     The increment is 0 on the first known volume and when the volume falls (a reset). ``stored``
     holds the last known fields per key from earlier runs. An update before any known time takes
-    ``arrival_ns``, when given. ``arrival`` is a whole-number column.
+    ``arrival_ns``, when given. ``arrival`` is a whole-number column; where it is not unique within a
+    key, ``ties`` settle the order (``pos`` for updates of one message).
     """
     fields = tuple(f for f in FIELDS if f in updates.columns) if fields is None else fields
-
-    def last_known(name: str) -> Column:
-        return F.max_by(F.col(name), F.when(F.col(name).isNotNull(), F.col(arrival)))
-
     sliced, single = with_slices(updates, arrival, width=width, rows_per_slice=rows_per_slice)
-    joined = carried(sliced, [key], {f"_s_{f}": last_known(f) for f in fields},
+    joined = carried(sliced, [key], {f"_s_{f}": _last_known(f, arrival, ties) for f in fields},
                      {f"_c_{f}": F.last(f"_s_{f}", ignorenulls=True) for f in fields}, single)
     carry = {f: F.col(f"_c_{f}") for f in fields}
     drops = list(carry.values())
@@ -40,8 +44,8 @@ def quote_state(updates: DataFrame, key: str = "sub_key", arrival: str = "arriva
         carry = {f: F.coalesce(carry[f], F.col(f"_p_{f}")) for f in fields}
         drops += [F.col(f"_p_{f}") for f in fields]
 
-    upto = in_slice([key], arrival).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = in_slice([key], arrival).rowsBetween(Window.unboundedPreceding, -1)
+    upto = in_slice([key], arrival, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = in_slice([key], arrival, *ties).rowsBetween(Window.unboundedPreceding, -1)
     merged = {f: F.coalesce(F.last(f, ignorenulls=True).over(upto), carry[f]) for f in fields}
     volume_before = F.coalesce(F.last("volume", ignorenulls=True).over(earlier), carry["volume"])
     increment = F.when(merged["volume"].isNotNull(),
@@ -52,10 +56,10 @@ def quote_state(updates: DataFrame, key: str = "sub_key", arrival: str = "arriva
 
 
 def last_state(updates: DataFrame, key: str = "sub_key", arrival: str = "arrival",
-               fields: tuple[str, ...] | None = None, stored: DataFrame | None = None) -> DataFrame:
+               fields: tuple[str, ...] | None = None, stored: DataFrame | None = None, ties: Sequence[str] = ()) -> DataFrame:
     """Last known fields per key: the state a later run of ``quote_state`` starts from."""
     fields = tuple(f for f in FIELDS if f in updates.columns) if fields is None else fields
-    now = updates.groupBy(key).agg(*[F.max_by(F.col(f), F.when(F.col(f).isNotNull(), F.col(arrival))).alias(f) for f in fields])
+    now = updates.groupBy(key).agg(*[_last_known(f, arrival, ties).alias(f) for f in fields])
     if stored is None:
         return now
     both = now.select(key, F.lit(1).alias("_new"), *fields).unionByName(stored.select(key, F.lit(0).alias("_new"), *fields))

@@ -45,7 +45,8 @@ def explode_frames(raw: DataFrame, column: str = "value") -> DataFrame:
 
 
 def parse_quote_json(raw: DataFrame, column: str = "value") -> DataFrame:
-    """Quote messages to one row per update: key, exchange, symbol, and the fields the update brings.
+    """Quote messages to one row per update: its place in the message, key, exchange, symbol, and the
+    fields the update brings.
 
     Messages of another kind are ignored; the update part may be one object or a list of them.
     Numbers that cannot be read are null, so that the last known value is kept later on.
@@ -58,10 +59,11 @@ def parse_quote_json(raw: DataFrame, column: str = "value") -> DataFrame:
     key = F.trim(F.col("u.n"))
     exchange, symbol = split_exchange_symbol(key)
     return raw.filter(F.get_json_object(column, "$.m") == "qsd") \
-        .select(*others, F.explode(F.from_json(as_list, f"ARRAY<{schemas.QUOTE_UPDATE}>")).alias("u")) \
+        .select(*others, F.posexplode(F.from_json(as_list, f"ARRAY<{schemas.QUOTE_UPDATE}>")).alias("pos", "u")) \
         .filter(key != "") \
         .select(
             *others,
+            "pos",
             key.alias("sub_key"),
             exchange.alias("exchange"),
             symbol.alias("symbol"),

@@ -22,21 +22,26 @@ def gap_monitor(out: str, state: str, *, key: str = "symbol", seq: str = "seq",
     found = F.col("ts_ns") if discovered is None else discovered
 
     def run(rows: DataFrame, batch_id: int) -> None:
+        rows = rows.persist()
         seen = cursors.before(rows.sparkSession, batch_id)
         gaps = seq_gaps_arrival(rows, key, seq, arrival, found, seen_before=seen, lookback_ids=lookback_ids)
         gaps.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
         cursors.write(highest_seen(rows, key, seq, seen), batch_id)
+        rows.unpersist()
     return run
 
 
-def quote_scan(out: str, state: str, *, key: str = "sub_key", arrival: str = "arrival", arrival_ns: Column | None = None) -> BatchFn:
+def quote_scan(out: str, state: str, *, key: str = "sub_key", arrival: str = "arrival", ties: tuple[str, ...] = (),
+               arrival_ns: Column | None = None) -> BatchFn:
     """A ``foreachBatch`` function that writes merged, material quotes."""
     states = Versions(state)
 
     def run(updates: DataFrame, batch_id: int) -> None:
+        updates = updates.persist()
         fields = tuple(f for f in FIELDS if f in updates.columns)
         stored = states.before(updates.sparkSession, batch_id)
-        merged = quote_state(updates, key, arrival, fields=fields, stored=stored, arrival_ns=arrival_ns)
+        merged = quote_state(updates, key, arrival, ties=ties, fields=fields, stored=stored, arrival_ns=arrival_ns)
         material_quotes(merged).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-        states.write(last_state(updates, key, arrival, fields, stored), batch_id)
+        states.write(last_state(updates, key, arrival, fields, stored, ties), batch_id)
+        updates.unpersist()
     return run
