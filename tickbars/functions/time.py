@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-__all__ = ["time_bucket", "bar_window", "day_floor", "bar_id", "event_order", "epoch_us", "us_to_ntz", "ns_to_ntz",
+__all__ = ["time_bucket", "bar_window", "day_floor", "bar_id", "event_order", "epoch_us", "ntz", "us_to_ntz", "ns_to_ntz",
            "ms_to_ns", "s_to_ns", "instant_to_ns", "parse_instant", "iso_utc", "minutes"]
 
 _EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
@@ -44,6 +46,11 @@ def epoch_us(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+def ntz(value: datetime) -> Column:
+    """An un-zoned literal, free of the zone of the machine that builds the plan."""
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def us_to_ntz(us: Column) -> Column:
     return F.timestamp_micros(us).cast("timestamp_ntz")
 

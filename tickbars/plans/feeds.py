@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickbars import schemas
+from tickbars.functions import ntz
 from tickbars.operators import bars, feed, incremental
 from tickbars.operators.filters import filter_time_range
 from tickbars.plans.bars import bars_1m, stitched_1m
@@ -117,6 +118,6 @@ LATE_FROM = datetime(2024, 1, 28)
 def reaggregate_late(t: Tables) -> DataFrame:
     """Bars without the buyer side of the last days, corrected once those trades come in."""
     trades = t.view("trades")
-    is_late = (F.col("Timestamp") >= F.lit(LATE_FROM).cast("timestamp_ntz")) & F.col("IsBuyerMaker")
+    is_late = (F.col("Timestamp") >= ntz(LATE_FROM)) & F.col("IsBuyerMaker")
     stored = bars.trade_bars(trades.filter(~is_late))
     return rounded(incremental.reaggregate_late(stored, trades, trades.filter(is_late)), "Vwap")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickbars import schemas
-from tickbars.functions import epoch_us, split_exchange_symbol
+from tickbars.functions import epoch_us, ntz, split_exchange_symbol
 from tickbars.operators import incremental, paging
 from tickbars.plans.journal import journal
 from tickbars.plans.quotes import quotes_table
@@ -211,7 +211,7 @@ def fetch_window(t: Tables) -> DataFrame:
 
 
 def _now(bars: DataFrame) -> Column:
-    return F.lit(bars.agg(F.max("datetime")).first()[0])
+    return ntz(bars.agg(F.max("datetime")).first()[0])
 
 
 def _watermarks(bars: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickbars.functions import ntz
 from tickbars.plans.views import ORACLE_CTES, VIEWS
 from tickbars.session import configure
 
@@ -50,7 +51,7 @@ class Tables:
 
     def as_of(self, name: str = "trades", column: str = "Timestamp") -> Column:
         """Newest time of a view, which stands for the clock: one value, so that bounds are literals and reach the scan."""
-        return F.lit(self.view(name).agg(F.max(column)).first()[0])
+        return ntz(self.view(name).agg(F.max(column)).first()[0])
 
 
 def oracle(needs: str, body: str) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickbars import schemas
-from tickbars.functions import instant_to_ns, ns_to_ntz
+from tickbars.functions import instant_to_ns, ns_to_ntz, ntz
 
 # Exchanges whose bars come in local time; every other exchange is in UTC.
 EXCHANGE_ZONES = {"BMFBOVESPA": "America/Sao_Paulo"}
@@ -59,7 +59,7 @@ def bars_to_ticks(bars: DataFrame, final_after: datetime | Column | None = None)
     if final_after is None:
         final = F.lit(True)
     else:
-        limit = final_after if isinstance(final_after, Column) else F.lit(final_after)
+        limit = final_after if isinstance(final_after, Column) else ntz(final_after)
         final = F.col("datetime") < limit
     named = F.concat_ws(":", F.nullif(F.col("exchange"), F.lit("")), F.col("symbol"))
     return bars.select(
