@@ -16,7 +16,8 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+    """All but the text operators, whose own tests compare those without SQL with a brute-force version."""
+    assert set(entry_module.TABLE_QUERIES) <= set(ORACLES) <= set(QUERIES)
 
 
 def test_entry(spark):
@@ -24,6 +25,6 @@ def test_entry(spark):
     assert df.count() > 0 and df.columns[0] == "Timestamp"
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(entry_module.TABLE_QUERIES))
 def test_query_matches_sql(spark, con, name):
     assert compare(con, spark, name, QUERIES[name], ORACLES[name], SF) is None
