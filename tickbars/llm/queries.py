@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickbars.llm import mixing, simhash
+from tickbars.llm import mixing, packing, simhash, tokens, topk, urlfilter
 from tickbars.llm.common import table
 from tickbars.session import configure
 
@@ -25,6 +25,31 @@ def _query(name: str, of: str, sql: str | None = None):
     return register
 
 
+@_query("op1_top_k_search", "embeddings", """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+        WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+        FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+    ), ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+    )
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""")
+def op1(vectors: DataFrame) -> DataFrame:
+    return topk.top_k(vectors, every=50)
+
+
+@_query("op4_token_counts", "documents")
+def op4(docs: DataFrame) -> DataFrame:
+    return tokens.count_tokens(docs)
+
+
+@_query("op7_pack_sequences", "documents")
+def op7(docs: DataFrame) -> DataFrame:
+    return packing.pack_documents(docs)
+
+
 @_query("op8_simhash_near_dedup", "documents")
 def op8(docs: DataFrame) -> DataFrame:
     groups = simhash.near_duplicate_groups(docs)
@@ -34,3 +59,28 @@ def op8(docs: DataFrame) -> DataFrame:
 @_query("op9_mix_sources", "documents")
 def op9(docs: DataFrame) -> DataFrame:
     return mixing.mix_report(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@_query("op10_url_filters", "pages", """
+    WITH rest AS (
+        SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+    ), hosts AS (
+        SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw FROM rest
+    ), parts AS (
+        SELECT page_id, url, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+               regexp_extract(substring(rest, length(raw) + 1), '^[^?#]*') AS path FROM hosts
+    ), ruled AS (
+        SELECT *, CASE
+            WHEN (host = 'example.org' OR suffix(host, '.example.org')) AND prefix(path, '/en/1') THEN 'example.org/en/1'
+            WHEN (host = 'example.org' OR suffix(host, '.example.org')) AND prefix(path, '/es/') THEN 'example.org/es/'
+            WHEN (host = 'com' OR suffix(host, '.com')) AND prefix(path, '/fr/') THEN 'com/fr/'
+            WHEN (host = 'com' OR suffix(host, '.com')) AND prefix(path, '/de/') THEN 'com/de/'
+            WHEN (host = 'org' OR suffix(host, '.org')) AND prefix(path, '/') THEN 'org/' END AS rule,
+            coalesce(bool_or(prefix(url, 'http://')) OVER (PARTITION BY host, path), false) AND host <> '' AS listed FROM parts
+    )
+    SELECT page_id, host, path, rule,
+           CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN listed THEN 'block' ELSE 'allow' END AS verdict
+    FROM ruled""")
+def op10(pages: DataFrame) -> DataFrame:
+    """The list holds what was read over plain http from any page."""
+    return urlfilter.judge(pages, F.col("url").startswith("http://"))
