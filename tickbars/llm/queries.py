@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickbars.llm import mixing, packing, simhash, tokens, topk, urlfilter
+from tickbars.llm import fingerprints, langid, mixing, packing, secrets, simhash, tokens, topk, urlfilter
 from tickbars.llm.common import table
 from tickbars.session import configure
 
@@ -40,11 +40,26 @@ def op1(vectors: DataFrame) -> DataFrame:
     return topk.top_k(vectors, every=50)
 
 
+@_query("op2_language_id", "documents")
+def op2(docs: DataFrame) -> DataFrame:
+    return langid.identify(docs)
+
+
+@_query("op3_fingerprints", "documents")
+def op3(docs: DataFrame) -> DataFrame:
+    return fingerprints.fingerprint_documents(docs)
+
+
 @_query("op4_token_counts", "documents")
 def op4(docs: DataFrame) -> DataFrame:
     return tokens.count_tokens(docs)
 
 
+@_query("op6_secret_scan", "documents")
+def op6(docs: DataFrame) -> DataFrame:
+    return secrets.scan_documents(docs)
+
+
 @_query("op7_pack_sequences", "documents")
 def op7(docs: DataFrame) -> DataFrame:
     return packing.pack_documents(docs)
