@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickbars.llm import fingerprints, langid, mixing, packing, secrets, simhash, tokens, topk, urlfilter
+from tickbars.llm import fingerprints, langid, lines, mixing, packing, secrets, simhash, tokens, topk, urlfilter
 from tickbars.llm.common import table
 from tickbars.session import configure
 
@@ -55,6 +55,13 @@ def op4(docs: DataFrame) -> DataFrame:
     return tokens.count_tokens(docs)
 
 
+@_query("op5_line_dedup", "documents")
+def op5(docs: DataFrame) -> DataFrame:
+    """What stays of each document."""
+    return lines.drop_repeated_lines(docs.select("doc_id", "text")).select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), "text")
+
+
 @_query("op6_secret_scan", "documents")
 def op6(docs: DataFrame) -> DataFrame:
     return secrets.scan_documents(docs)
@@ -99,3 +106,12 @@ def op9(docs: DataFrame) -> DataFrame:
 def op10(pages: DataFrame) -> DataFrame:
     """The list holds what was read over plain http from any page."""
     return urlfilter.judge(pages, F.col("url").startswith("http://"))
+
+
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = _pipeline
