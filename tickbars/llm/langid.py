@@ -22,8 +22,10 @@ SLICE = 1 << 20
 KNOWN_BITS = 18
 #: The score of a document is the probability of its language given so many independent characters at most.
 EVIDENCE = 50
-#: A document is rejected if its entropy is this many times as far from its language as any calibration document.
-TOLERANCE = 2.0
+#: A document is rejected if its entropy is this many times as far from its language as any calibration document,
+#: and by so many bits at least, so that a small calibration set does not reject clean documents.
+TOLERANCE = 3.0
+LEAST_GAP = 1.5
 NONE = "und"
 
 _P = 0x9E3779B97F4A7C15
@@ -116,9 +118,12 @@ class Model:
 
     def __init__(self, texts: dict[str, list[str]]) -> None:
         self.languages = sorted(texts)
+        if not texts:  # nothing to learn from
+            self._forget()
+            return
         held = {lang: [t for i, t in enumerate(own) if i % 4 == 3] for lang, own in texts.items()}
         parts = {lang: [padded(codes(t)) for i, t in enumerate(own) if i % 4 != 3] for lang, own in texts.items()}
-        symbols = len(np.unique(np.concatenate([c for own in parts.values() for c in own]))) + 1 if any(parts.values()) else 1
+        symbols = len(np.unique(np.concatenate([c for own in parts.values() for c in own]))) + 1
         counted = []
         for lang in self.languages:
             own = parts[lang]
@@ -246,13 +251,13 @@ class Model:
         return out / np.maximum(sizes, 1)[:, None], sizes
 
     def classify(self, texts: list[str | None]) -> pd.DataFrame:
-        h, n = self.entropies_of([codes(t or "") for t in texts])
         if not self.languages:
             return pd.DataFrame({"lang_pred": [NONE] * len(texts), "score": 0.0, "rejected": True, "entropy": np.nan})
+        h, n = self.entropies_of([codes(t or "") for t in texts])
         best = h.argmin(axis=1)
         least = h[np.arange(len(h)), best]
         score = 1 / np.exp2(-(h - least[:, None]) * np.minimum(n, EVIDENCE)[:, None]).sum(axis=1)
-        far = least - self.center[best] > self.spread[best] * self._scale(n)
+        far = least - self.center[best] > np.maximum(self.spread[best] * self._scale(n), LEAST_GAP)
         none = n == 0
         return pd.DataFrame({
             "lang_pred": np.where(none, NONE, np.array(self.languages, dtype=object)[best]),
