@@ -34,13 +34,14 @@ def quote_state(updates: DataFrame, key: str = "sub_key", arrival: str = "arriva
     key, ``ties`` settle the order (``pos`` for updates of one message).
     """
     fields = tuple(f for f in FIELDS if f in updates.columns) if fields is None else fields
-    sliced, single = with_slices(updates, arrival, width=width, rows_per_slice=rows_per_slice)
+    sliced = with_slices(updates, arrival, width=width, rows_per_slice=rows_per_slice)
     joined = carried(sliced, [key], {f"_s_{f}": _last_known(f, arrival, ties) for f in fields},
-                     {f"_c_{f}": F.last(f"_s_{f}", ignorenulls=True) for f in fields}, single)
+                     {f"_c_{f}": F.last(f"_s_{f}", ignorenulls=True) for f in fields})
     carry = {f: F.col(f"_c_{f}") for f in fields}
     drops = list(carry.values())
     if stored is not None:
-        joined = joined.join(stored.select(key, *[F.col(f).alias(f"_p_{f}") for f in fields]), key, "left")
+        earlier = stored.select(F.col(key).alias("_p_key"), *[F.col(f).alias(f"_p_{f}") for f in fields])
+        joined = joined.join(earlier, F.col(key).eqNullSafe(F.col("_p_key")), "left").drop("_p_key")
         carry = {f: F.coalesce(carry[f], F.col(f"_p_{f}")) for f in fields}
         drops += [F.col(f"_p_{f}") for f in fields]
 
