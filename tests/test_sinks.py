@@ -96,3 +96,28 @@ def test_state_versions(spark, tmp_path):
         kept.write(spark.range(batch_id + 1), batch_id)
     assert kept.before(spark, 4).count() == 4 and kept.before(spark, 3).count() == 3
     assert sorted(p.name for p in (tmp_path / "v").iterdir() if p.is_dir()) == ["v=2", "v=3"]
+
+
+def test_canonical_table_keeps_rows_without_a_provider(spark, tmp_path):
+    root = str(tmp_path / "canonical")
+    merge = tables.canonical_merge(root)
+    rows = [(p, s, "A", 10 ** 9 * i, i, True, "{}") for i in (1, 2) for p in (None, "p") for s in (None, "x")]
+    for i in (1, 2):
+        merge(spark.createDataFrame([r for r in rows if r[4] == i], TICK), i)
+    got = spark.read.parquet(root).select("provider", "stream", "seq").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(r[0], r[1], r[4]) for r in rows], key=str)
+
+
+def test_old_batches_are_deleted(spark, tmp_path):
+    root = str(tmp_path / "journal")
+    for b in range(5):
+        tables.journal_append(root)(ticks(spark), b)
+    assert tables.prune_batches(spark, root, 4, 10) == 0
+    assert tables.prune_batches(spark, root, 4, 2) == 18 and sorted(p.name for p in (tmp_path / "journal").glob("batch*")) == ["batch_id=3", "batch_id=4"]
+
+
+def test_repeated_writes_replace_their_rows(spark, tmp_path):
+    for write_id in (1, 2, 2):
+        tables.write_ticks(ticks(spark), str(tmp_path / "t"), write_id=write_id)
+        eventlog.append_events(tables.unrouted(ticks(spark)), str(tmp_path / "e"), write_id=write_id)
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 12 and spark.read.parquet(str(tmp_path / "e")).count() == 2

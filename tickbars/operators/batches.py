@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickbars.operators.latest import best_per_key
@@ -51,13 +51,10 @@ def max_batch_id(ticks: DataFrame) -> DataFrame:
 
 
 def distinct_batches_from(ticks: DataFrame, start: int, n: int) -> DataFrame:
-    """Ticks of the first ``n`` batches from an id on, with the batch's last instant.
-
-    The join side is at most ``n`` rows.
-    """
+    """Ticks of the first ``n`` batches from an id on, with the batch's last instant."""
     first = ticks.filter(F.col("batch_id") >= start).groupBy("batch_id").agg(F.max("ts_ns").alias("produced_at_ns")) \
         .orderBy("batch_id").limit(n)
-    return ticks.join(F.broadcast(first) if n <= 10_000 else first, "batch_id")
+    return ticks.join(first, "batch_id")
 
 
 def retain_batches(batches: DataFrame, last_committed: int, safety: int = PRUNE_SAFETY_BATCHES) -> DataFrame:
@@ -72,6 +69,12 @@ def pruned_count(batches: DataFrame, last_committed: int, safety: int = PRUNE_SA
     return batches.filter(F.lit(cutoff > 0) & (F.col("batch_id") <= cutoff)).agg(F.count(F.lit(1)).alias("deleted"))
 
 
+def set_watermark(spark: SparkSession, path: str, scope: str, last_offset: int, seq: int) -> None:
+    """Move a named cursor: one more row of its history, in a folder of its own so that a retry replaces it."""
+    row = spark.createDataFrame([(scope, last_offset, seq)], "scope STRING, last_offset BIGINT, seqcol BIGINT")
+    row.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scope", "seqcol").parquet(path)
+
+
 def named_watermarks(history: DataFrame, seq: str = "seqcol") -> DataFrame:
     """Current value of each named cursor: the last one written."""
     return best_per_key(history, ["scope"], F.col(seq).desc()).select("scope", "last_offset")

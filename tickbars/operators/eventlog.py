@@ -27,9 +27,17 @@ def event_rows(df: DataFrame, *, service: Column, name: Column, role: Column, le
     )
 
 
-def append_events(events: DataFrame, path: str) -> None:
-    """Append event rows to the log, one folder per day."""
-    events.select(*schemas.EVENT_LOG.names).withColumn("date", F.to_date("ts")).write.mode("append").partitionBy("date").parquet(path)
+def append_events(events: DataFrame, path: str, write_id: int | None = None) -> None:
+    """Append event rows to the log, one folder per day.
+
+    A job that may be repeated gives its ``write_id``: its rows have folders of their own, which a repetition replaces.
+    """
+    rows = events.select(*schemas.EVENT_LOG.names).withColumn("date", F.to_date("ts"))
+    if write_id is None:
+        rows.write.mode("append").partitionBy("date").parquet(path)
+    else:
+        rows.withColumn("write_id", F.lit(write_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+            .partitionBy("date", "write_id").parquet(path)
 
 
 def latest_error_per_instance(events: DataFrame, seq: str = "ts") -> DataFrame:

@@ -216,3 +216,44 @@ def compact_partitions(t: Tables) -> DataFrame:
         tables.write_ticks(rows.filter(which), root, unit="month")
     compacted = tables.compact_partitions(t.spark, root, packed)
     return compacted.groupBy("provider", "stream", "date").agg(F.count(F.lit(1)).alias("row_count"), F.max("ts_ns").alias("last_ts_ns"))
+
+
+@query("journal_and_canonical", "journal", """, fed AS (
+  SELECT CASE WHEN arrival % 7 = 0 THEN NULL ELSE provider END AS provider, stream, symbol, nat_key, ts_ns, seq, is_final, arrival % 3 AS batch_id, price, qty FROM journal)
+SELECT 'canonical' AS table_name, * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY provider, stream, symbol, nat_key
+    ORDER BY is_final DESC NULLS LAST, batch_id DESC NULLS LAST, seq DESC NULLS LAST, ts_ns DESC NULLS LAST, price DESC NULLS LAST, qty DESC NULLS LAST) AS rn FROM fed) WHERE rn = 1
+UNION ALL SELECT 'journal', * FROM fed""")
+def journal_and_canonical(t: Tables) -> DataFrame:
+    """Three batches, the middle one fed twice, some ticks without a provider: the rows of both tables."""
+    hot, canonical = shared_dir(t.spark, "hot"), shared_dir(t.spark, "canonical")
+    write = tables.journal_and_canonical(hot, canonical, ["price", "qty"], days_per_block=365)
+    ticks = journal(t).select(F.when(F.col("arrival") % 7 != 0, F.col("provider")).alias("provider"), "stream", "symbol", "ts_ns", "seq", "is_final",
+                              "price", "qty", (F.col("arrival") % 3).alias("batch_id"))
+    for batch in (0, 1, 1, 2):
+        write(ticks.filter(F.col("batch_id") == batch), batch)
+    columns = ["provider", "stream", "symbol", "nat_key", "ts_ns", "seq", "is_final", "batch_id", "price", "qty"]
+    stored = latest.with_natural_key(t.spark.read.parquet(hot)).withColumn("batch_id", F.col("batch_id").cast("bigint"))
+    return t.spark.read.parquet(canonical).select(F.lit("canonical").alias("table_name"), *columns) \
+        .unionByName(stored.select(F.lit("journal").alias("table_name"), *columns))
+
+
+@query("prune_batches", "journal", """
+SELECT (SELECT count(*) FROM journal WHERE batch_id <= 43) AS deleted, batch_id, symbol, ts_ns, seq FROM journal WHERE batch_id > 43""")
+def prune_batches(t: Tables) -> DataFrame:
+    """A stored journal without its old folders, and how many rows went."""
+    root = shared_dir(t.spark, "pruned")
+    tables.write_journal(journal(t).select("provider", "stream", "symbol", "ts_ns", "seq", "is_final", "payload", "batch_id"), root)
+    deleted = tables.prune_batches(t.spark, root, 63, 20)
+    return t.spark.read.parquet(root).select(F.lit(deleted).cast("bigint").alias("deleted"), F.col("batch_id").cast("bigint").alias("batch_id"), "symbol", "ts_ns", "seq")
+
+
+@query("set_watermark", "journal", """
+SELECT concat(provider, '.', stream) AS scope, max(ts_ns) AS last_offset FROM journal GROUP BY 1""")
+def set_watermark(t: Tables) -> DataFrame:
+    """Cursors moved to where each stream stands, by way of an earlier position, and read back."""
+    path = shared_dir(t.spark, "named")
+    for scope, last in journal(t).groupBy(F.concat_ws(".", "provider", "stream")).agg(F.max("ts_ns")).collect():
+        for seq, value in ((1, last - 1), (2, last), (2, last)):
+            batches.set_watermark(t.spark, path, scope, value, seq)
+    return batches.named_watermarks(t.spark.read.parquet(path))

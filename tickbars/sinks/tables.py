@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tickbars import schemas
 from tickbars.functions import ns_to_ntz
+from tickbars.operators.batches import PRUNE_SAFETY_BATCHES
 from tickbars.operators.eventlog import event_rows
 from tickbars.operators.filters import filter_provider_stream
 from tickbars.operators.latest import canonical_upsert, upsert_into, with_natural_key
@@ -19,10 +22,6 @@ from tickbars.sources.trades import flatten_trades
 from tickbars.sources.vendor import flatten_bars
 
 
-# Folder names put into a filter as literals, so that other folders are not listed; with more, a join does it.
-MAX_LITERALS = 1000
-
-
 @dataclass(frozen=True)
 class Route:
     """How the ticks of one (provider, stream) become rows of a table."""
@@ -67,18 +66,18 @@ def unrouted(ticks: DataFrame, routes: Mapping[tuple[str, str], Route] = ROUTES)
 def route_by_stream(root: str, routes: Mapping[tuple[str, str], Route] = ROUTES, event_log: str | None = None) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that writes each stream of a batch to its table.
 
-    A batch writes to its own ``batch_id=`` folder of each table, so a retry replaces what the failed
-    attempt left.
+    A batch is landed once, in a folder per (provider, stream), and each route reads its own folder. It writes
+    to its own ``batch_id=`` folder of each table, so a retry replaces what the failed attempt left.
     """
     def write(ticks: DataFrame, batch_id: int) -> None:
-        ticks = ticks.persist()
-        try:
-            for (provider, stream), route in routes.items():
-                routed(ticks, provider, stream, routes).write.mode("overwrite").parquet(f"{root}/{route.table}/batch_id={batch_id}")
-            if event_log:
-                unrouted(ticks, routes).write.mode("overwrite").parquet(f"{event_log}/batch_id={batch_id}")
-        finally:
-            ticks.unpersist()
+        spark, staging = ticks.sparkSession, f"{root}-landed/batch={batch_id}"
+        ticks.write.mode("overwrite").partitionBy("provider", "stream").parquet(staging)
+        landed = spark.read.schema(ticks.schema).parquet(staging)
+        for (provider, stream), route in routes.items():
+            routed(landed, provider, stream, routes).write.mode("overwrite").parquet(f"{root}/{route.table}/batch_id={batch_id}")
+        if event_log:
+            unrouted(landed, routes).write.mode("overwrite").parquet(f"{event_log}/batch_id={batch_id}")
+        remove(spark, staging)
     return write
 
 
@@ -138,11 +137,33 @@ def canonical_merge(root: str, ties: Iterable[str] = (), ids_per_block: int = 10
 
 
 def _touched_blocks(stored: DataFrame, rows: DataFrame, folders: tuple[str, ...]) -> DataFrame:
-    touched = rows.select(*folders).distinct()
-    few = [r[0] for r in touched.select("block").distinct().limit(MAX_LITERALS + 1).collect()]
-    if len(few) <= MAX_LITERALS:
-        stored = stored.filter(F.col("block").isin(few))
-    return stored.join(touched, list(folders), "left_semi")
+    """Stored rows of the folders that a batch touches; a missing provider or stream is a folder like any other."""
+    touched = rows.select(*[F.col(c).alias(f"_{c}") for c in folders]).distinct()
+    same = functools.reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in folders])
+    return stored.join(touched, same, "left_semi")
+
+
+def journal_and_canonical(journal_root: str, canonical_root: str, ties: Iterable[str] = (), **blocks: int) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function for both tables: the batch goes to the hot journal, and from there, as it was
+    stored, into the canonical table. Either step can be repeated."""
+    append, merge = journal_append(journal_root), canonical_merge(canonical_root, ties, **blocks)
+
+    def write(ticks: DataFrame, batch_id: int) -> None:
+        append(ticks, batch_id)
+        columns = [f for f in ticks.schema if f.name != "batch_id"]
+        merge(ticks.sparkSession.read.schema(StructType(columns)).parquet(f"{journal_root}/batch_id={batch_id}"), batch_id)
+    return write
+
+
+def prune_batches(spark: SparkSession, root: str, last_committed: int, safety: int = PRUNE_SAFETY_BATCHES) -> int:
+    """Delete the ``batch_id=`` folders of a journal up to ``last_committed - safety``; gives the rows that went."""
+    cutoff = last_committed - safety
+    if cutoff <= 0:
+        return 0
+    old = spark.read.parquet(root).filter(F.col("batch_id") <= cutoff).groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows")).collect()
+    for row in old:
+        remove(spark, f"{root}/batch_id={row.batch_id}")
+    return sum(row.rows for row in old)
 
 
 def hot_dir(root: str, provider: str, stream: str, layout: str = "flat") -> str:
@@ -150,13 +171,19 @@ def hot_dir(root: str, provider: str, stream: str, layout: str = "flat") -> str:
     return f"{root}/{provider}/{stream}" if layout == "nested" else f"{root}/{provider}_{stream}"
 
 
-def write_ticks(ticks: DataFrame, root: str, mode: str = "append", unit: str = "day") -> None:
+def write_ticks(ticks: DataFrame, root: str, mode: str = "append", unit: str = "day", write_id: int | None = None) -> None:
     """Ticks to a Parquet table partitioned by provider, stream and date (the first of each ``unit``).
 
-    Rebalancing splits a folder that holds a large share of the rows over several tasks and files.
+    Rebalancing splits a folder that holds a large share of the rows over several tasks and files. A job that may
+    be repeated gives its ``write_id``: its rows have folders of their own, which a repetition replaces.
     """
-    ticks.withColumn("date", F.to_date(F.date_trunc(unit, ns_to_ntz(F.col("ts_ns"))))) \
-        .hint("rebalance", "provider", "stream", "date").write.mode(mode).partitionBy("provider", "stream", "date").parquet(root)
+    folders = ["provider", "stream", "date"]
+    rows = ticks.withColumn("date", F.to_date(F.date_trunc(unit, ns_to_ntz(F.col("ts_ns")))))
+    if write_id is None:
+        rows.hint("rebalance", *folders).write.mode(mode).partitionBy(*folders).parquet(root)
+    else:
+        rows.withColumn("write_id", F.lit(write_id)).hint("rebalance", *folders).write.mode("overwrite") \
+            .option("partitionOverwriteMode", "dynamic").partitionBy(*folders, "write_id").parquet(root)
 
 
 def compact_partitions(spark: SparkSession, source: str, target: str, partitions: tuple[str, ...] = ("provider", "stream", "date")) -> DataFrame:
