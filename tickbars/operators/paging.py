@@ -48,15 +48,24 @@ def window_start(as_of: Column, days_back: int, overlap_minutes: int) -> Column:
 
 def fetch_window(symbols: DataFrame, watermarks: DataFrame, as_of: Column, keys: Sequence[str] = ("symbol",), *,
                  days_back: int = 10, overlap_minutes: int = 5, max_bars: int = 5000) -> DataFrame:
-    """Per symbol the time range to fetch and the number of one-minute bars in it.
+    """The time ranges to fetch per symbol, with the number of one-minute bars in each.
 
-    Without a watermark the range goes back ``days_back`` days, else to the watermark less the overlap.
+    Without a watermark they go back ``days_back`` days, else to the watermark less the overlap. A range of more
+    than ``max_bars`` bars is cut into several that cover it all.
     """
     ranges = symbols.join(watermarks.select(*keys, "watermark"), list(keys), "left") \
         .withColumn("window_start", window_start(as_of, days_back, overlap_minutes)).withColumn("window_end", as_of)
-    micros = F.unix_micros(F.col("window_end").cast("timestamp")) - F.unix_micros(F.col("window_start").cast("timestamp"))
-    bars = F.least(F.greatest(F.floor(micros / F.lit(60_000_000)), F.lit(1)), F.lit(max_bars)).cast("bigint")
-    return ranges.select(*keys, "window_start", "window_end", bars.alias("n_bars"))
+    def minutes(a: str, b: str) -> Column:
+        micros = F.unix_micros(F.col(b).cast("timestamp")) - F.unix_micros(F.col(a).cast("timestamp"))
+        return F.greatest(F.floor(micros / F.lit(60_000_000)), F.lit(1)).cast("bigint")
+
+    def later(n: Column) -> Column:
+        return F.col("window_start") + F.make_dt_interval(mins=n.cast("int"))
+
+    cuts = F.sequence(F.lit(0).cast("bigint"), minutes("window_start", "window_end") - 1, F.lit(max_bars).cast("bigint"))
+    parts = ranges.withColumn("_from", F.explode(cuts)).withColumns({
+        "window_start": later(F.col("_from")), "window_end": F.least(later(F.col("_from") + max_bars), F.col("window_end"))})
+    return parts.select(*keys, "window_start", "window_end", minutes("window_start", "window_end").alias("n_bars"))
 
 
 def repaint_overlap(bars: DataFrame, watermarks: DataFrame, keys: Sequence[str], time_col: str = "datetime", overlap: int = 5) -> DataFrame:
@@ -69,9 +78,10 @@ def repaint_overlap(bars: DataFrame, watermarks: DataFrame, keys: Sequence[str],
     return newest_of_known(known, F.col("_known").isNotNull(), keys, time_col, overlap).select(*bars.columns)
 
 
-def newest_of_known(bars: DataFrame, known: Column, keys: Sequence[str], time_col: str, overlap: int) -> DataFrame:
-    """All rows of keys not known yet; of the others those from the N-th newest on."""
+def newest_of_known(bars: DataFrame, known: Column, keys: Sequence[str], time_col: str, overlap: int, since: str | None = None) -> DataFrame:
+    """All rows of keys not known yet; of the others those from the N-th newest on, or from the earlier time in ``since``."""
     w = Window.partitionBy(*keys).orderBy(F.col(time_col).desc())
     newest = bars.filter(known).select(*keys, time_col).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= overlap)
     cutoff = newest.groupBy(*keys).agg(F.min(time_col).alias("_cutoff"))
-    return bars.join(cutoff, list(keys), "left").filter(F.col("_cutoff").isNull() | (F.col(time_col) >= F.col("_cutoff")))
+    first = F.least(F.col("_cutoff"), F.col(since)) if since else F.col("_cutoff")
+    return bars.join(cutoff, list(keys), "left").filter(F.col("_cutoff").isNull() | (F.col(time_col) >= first))

@@ -27,7 +27,7 @@ def quote_bars_1m(t: Tables) -> DataFrame:
 
 
 def stitched_1m(t: Tables) -> DataFrame:
-    return stitch.stitch_bars(t.view("vendor_bars_dup"), quote_bars_1m(t))
+    return stitch.stitch_bars(t.view("settled_bars_dup"), quote_bars_1m(t))
 
 
 @query("ohlcv_1m", "bars_1m", f"SELECT {_BAR} FROM bars_1m")

@@ -21,7 +21,7 @@ _RANGE = "Timestamp BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-
 
 
 def sources(t: Tables) -> dict[str, DataFrame]:
-    return {schemas.TRADES: t.view("trades"), schemas.QUOTES: quotes_table(t), schemas.BARS: t.view("vendor_bars_dup")}
+    return {schemas.TRADES: t.view("trades"), schemas.QUOTES: quotes_table(t), schemas.BARS: t.view("settled_bars_dup")}
 
 
 @query("snapshot_range", "bars_5m", f"SELECT {_BAR}, FALSE AS IsEmpty FROM bars_5m WHERE Symbol = 'CLICK' AND {_RANGE} ORDER BY Timestamp")

@@ -115,7 +115,7 @@ def stream_quote_state(t: Tables) -> DataFrame:
 
 
 @query("subscribe_foreach", "bars_1m trades", f"""
-SELECT Timestamp, Symbol, Close FROM bars_1m WHERE Symbol = 'CLICK' AND {_CLOSED.format(n=1)[:-1]} WHERE Symbol = 'CLICK')""")
+SELECT Timestamp, Symbol, Close FROM bars_1m WHERE Symbol = 'CLICK' AND {_CLOSED.format(n=1)}""")
 def subscribe_foreach(t: Tables) -> DataFrame:
     out = shared_dir(t.spark, "stream")
     completed = live.stream_bars(trade_stream(t), 1, DELAY)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickbars import schemas
 from tickbars.functions import epoch_us, ntz, split_exchange_symbol
 from tickbars.operators import incremental, paging
+from tickbars.operators.latest import latest_by_key
 from tickbars.plans.journal import journal
 from tickbars.plans.quotes import quotes_table
 from tickbars.plans.registry import Tables, query
@@ -59,7 +62,7 @@ def parse_trade_rest(t: Tables) -> DataFrame:
                   F.lit(False).alias("isBuyerMaker"), F.col("IsBuyerMaker").alias("m"), F.col("Symbol").alias("s"))
     raw = t.view("trades").filter("TradeID <> 0").select(F.when(kind == 0, first).when(kind == 1, second).otherwise(third).alias("value"))
     zero = t.view("trades").filter("TradeID = 0").select(first.alias("value"))
-    return _spread(trades.parse_trade_rest(raw.unionAll(zero))).withColumn("seq", F.coalesce("seq", F.lit(0)))
+    return _spread(trades.parse_trade_rest(raw.unionAll(zero)))
 
 
 @query("flatten_trades", "trades", """
@@ -179,32 +182,39 @@ def mixed_ticks(t: Tables) -> DataFrame:
 
 
 @query("route_by_stream", "trades quotes vendor_bars ticks", """
-SELECT 'trades' AS table_name, count(*) AS row_count, CAST(sum(TradeID) AS BIGINT) AS check_sum FROM trades
-UNION ALL SELECT 'quotes', count(*), CAST(round(sum(VolDelta)) AS BIGINT) FROM quotes
-UNION ALL SELECT 'bars', count(*), CAST(round(sum(Volume)) AS BIGINT) FROM vendor_bars
-UNION ALL SELECT 'unrouted', count(DISTINCT stream), CAST(count(*) AS BIGINT) FROM ticks""")
+SELECT 'trades' AS table_name, Symbol AS symbol, epoch_us(Timestamp) // 1000 AS at_ms, Price AS value, Quantity AS amount FROM trades
+UNION ALL SELECT 'quotes', concat(Exchange, ':', Symbol), epoch_us(LpTime) // 1000, LastPrice, VolDelta FROM quotes
+UNION ALL SELECT 'bars', concat(upper(Exchange), ':', upper(Symbol)),
+  epoch_us(CASE WHEN Exchange = 'bmfbovespa' THEN Timestamp + INTERVAL '3' HOUR ELSE Timestamp END) // 1000, Close, Volume FROM vendor_bars
+UNION ALL SELECT 'unrouted', concat('tpch/', stream), NULL, NULL, CAST(count(*) AS DOUBLE) FROM ticks GROUP BY stream""")
 def route_by_stream(t: Tables) -> DataFrame:
-    """One mixed batch routed to its tables; rows per table, and per pair without a route."""
+    """One mixed batch routed to its tables: the rows of each, and a row per pair without a route."""
     root = shared_dir(t.spark, "tables")
     tables.route_by_stream(root, event_log=f"{root}/events")(mixed_ticks(t), 0)
 
-    def summary(name: str, check: Column) -> DataFrame:
-        return t.spark.read.parquet(f"{root}/{name}").agg(F.count(F.lit(1)).alias("row_count"), F.round(F.sum(check)).cast("bigint").alias("check_sum"))
+    def rows(name: str, symbol: Column, at: Column, value: Column, amount: Column) -> DataFrame:
+        return t.spark.read.parquet(f"{root}/{name}").select(
+            F.lit("unrouted" if name == "events" else name).alias("table_name"), symbol.alias("symbol"), at.cast("bigint").alias("at_ms"),
+            value.cast("double").alias("value"), amount.cast("double").alias("amount"))
+
+    def ms(column: str) -> Column:
+        return F.floor(epoch_us(F.col(column)) / 1000)
 
-    parts = {"trades": summary("trades", F.col("TradeID")), "quotes": summary("quotes", F.col("VolDelta")), "bars": summary("bars", F.col("Volume")),
-             "unrouted": summary("events", F.get_json_object("meta", "$.rows").cast("bigint"))}
-    rows = None
-    for name, part in parts.items():
-        named = part.select(F.lit(name).alias("table_name"), "row_count", "check_sum")
-        rows = named if rows is None else rows.unionAll(named)
-    return rows
+    pair, none = F.concat_ws(":", "Exchange", "Symbol"), F.lit(None)
+    named = F.concat(F.regexp_extract("message", "provider=(\\S*)", 1), F.lit("/"), F.regexp_extract("message", "stream=(\\S*)", 1))
+    return rows("trades", F.col("Symbol"), ms("Timestamp"), F.col("Price"), F.col("Quantity")) \
+        .unionByName(rows("quotes", pair, ms("LpTime"), F.col("LastPrice"), F.col("VolDelta"))) \
+        .unionByName(rows("bars", pair, ms("Timestamp"), F.col("Close"), F.col("Volume"))) \
+        .unionByName(rows("events", named, none, none, F.get_json_object("meta", "$.rows")))
 
 
 @query("fetch_window", "vendor_bars", f""", b AS ({_UTC_BARS}), a AS (SELECT max(datetime) AS now FROM b),
 w AS (SELECT exchange, symbol, max(datetime) AS watermark FROM b WHERE exchange = 'CME' GROUP BY exchange, symbol),
 r AS (SELECT DISTINCT b.exchange, b.symbol, coalesce(w.watermark - INTERVAL '5' MINUTE, a.now - INTERVAL '10' DAY) AS window_start, a.now AS window_end
       FROM b CROSS JOIN a LEFT JOIN w ON b.exchange = w.exchange AND b.symbol = w.symbol)
-SELECT *, least(greatest((epoch_us(window_end) - epoch_us(window_start)) // 60000000, 1), 5000) AS n_bars FROM r""")
+SELECT exchange, symbol, s AS window_start, e AS window_end, greatest((epoch_us(e) - epoch_us(s)) // 60000000, 1) AS n_bars
+FROM (SELECT *, window_start + to_minutes(cut) AS s, least(window_start + to_minutes(cut + 5000), window_end) AS e
+      FROM (SELECT *, unnest(range(0, greatest((epoch_us(window_end) - epoch_us(window_start)) // 60000000, 1), 5000)) AS cut FROM r))""")
 def fetch_window(t: Tables) -> DataFrame:
     bars = utc_bars(t)
     return paging.fetch_window(bars.select("exchange", "symbol").distinct(), _watermarks(bars), _now(bars), ["exchange", "symbol"])
@@ -233,10 +243,26 @@ def repaint_overlap(t: Tables) -> DataFrame:
 
 @query("incremental_bars", "vendor_bars", f"""{_CUTOFFS}, a AS (SELECT max(datetime) AS now FROM b)
 SELECT b.* FROM b CROSS JOIN a JOIN c ON b.exchange = c.exchange AND b.symbol = c.symbol
-WHERE (b.exchange <> 'CME' AND b.datetime >= a.now - INTERVAL '10' DAY) OR (b.exchange = 'CME' AND b.datetime >= c.cutoff)""")
+JOIN (SELECT exchange, symbol, max(datetime) - INTERVAL '8' DAY AS watermark FROM b GROUP BY exchange, symbol) w ON b.exchange = w.exchange AND b.symbol = w.symbol
+WHERE (b.exchange <> 'CME' AND b.datetime >= a.now - INTERVAL '10' DAY) OR (b.exchange = 'CME' AND b.datetime >= least(c.cutoff, w.watermark))""")
 def incremental_bars(t: Tables) -> DataFrame:
     """A run with watermarks far enough back that the window holds more than the overlap."""
     bars = utc_bars(t)
     behind = _watermarks(bars).withColumn("watermark", F.col("watermark") - F.expr("INTERVAL '8' DAY"))
     return incremental.incremental_bars(bars, behind, _now(bars))
 
+
+
+@query("ingest_cycle", "vendor_bars", f""", b AS ({_UTC_BARS}), a AS (SELECT max(datetime) AS now FROM b)
+SELECT b.* FROM b CROSS JOIN a WHERE b.datetime >= a.now - INTERVAL '17' DAY""")
+def ingest_cycle(t: Tables) -> DataFrame:
+    """Two runs a week apart, the second one repeated: what they emitted, in its latest version."""
+    out, cursors = shared_dir(t.spark, "emitted"), shared_dir(t.spark, "cursors")
+    bars = utc_bars(t)
+    now = bars.agg(F.max("datetime")).first()[0]
+    for run, back in ((1, 7), (2, 0), (2, 0)):
+        as_of = ntz(now - timedelta(days=back))
+        fetched = bars.filter(F.col("datetime") <= as_of)
+        incremental.ingest_cycle(t.spark, lambda marks, rows=fetched: rows, as_of, out, cursors, run)
+    emitted = t.spark.read.parquet(out)
+    return latest_by_key(emitted, ["exchange", "symbol", "datetime"], "run").select(*bars.columns)

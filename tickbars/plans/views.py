@@ -29,9 +29,7 @@ SELECT CASE user_id % 3 WHEN 0 THEN 'nyse' WHEN 1 THEN 'cme' ELSE 'bmfbovespa' E
        CASE WHEN event_id % 4 = 2 THEN NULL ELSE value - 0.01 END AS bid,
        CASE WHEN event_id % 4 = 3 THEN NULL ELSE value + 0.01 END AS ask,
        CASE WHEN event_id % 5 = 0 THEN NULL ELSE
-         sum(CAST(regexp_extract(props, '[0-9]+', 0) AS DOUBLE)) OVER (
-           PARTITION BY event_type, user_id % 3, date_trunc('day', ts)
-           ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS volume
+         (hour(ts) * 3600 + minute(ts) * 60) * 10 + CAST(regexp_extract(props, '[0-9]+', 0) AS DOUBLE) END AS volume
 FROM {events}"""),
     "vendor_bars": (("events",), """
 SELECT CASE user_id % 3 WHEN 0 THEN 'nyse' WHEN 1 THEN 'cme' ELSE 'bmfbovespa' END AS Exchange,
@@ -39,8 +37,20 @@ SELECT CASE user_id % 3 WHEN 0 THEN 'nyse' WHEN 1 THEN 'cme' ELSE 'bmfbovespa' E
        min_by(value, event_id) AS Open, max(value) AS High, min(value) AS Low,
        max_by(value, event_id) AS Close, CAST(count(*) AS DOUBLE) AS Volume, TRUE AS IsFinal,
        max(event_id) AS arrival
-FROM {events} WHERE ts < TIMESTAMP '2024-01-20 00:00:00'
+FROM {events}
 GROUP BY 1, 2, 3"""),
+    # Vendor bars that lag behind: those of the last ten days of each symbol have not come yet.
+    "settled_bars": (("vendor_bars",), """
+SELECT b.* FROM {vendor_bars} b
+JOIN (SELECT Exchange, Symbol, max(Timestamp) - INTERVAL '10' DAY AS until FROM {vendor_bars} GROUP BY Exchange, Symbol) e
+  ON b.Exchange = e.Exchange AND b.Symbol = e.Symbol
+WHERE b.Timestamp < e.until"""),
+    "settled_bars_dup": (("settled_bars",), """
+SELECT * FROM {settled_bars}
+UNION ALL
+SELECT upper(Exchange), Symbol, Timestamp, Open, High + 1, Low, Close + 1, Volume + 1, IsFinal,
+       arrival + 1000000
+FROM {settled_bars} WHERE arrival % 5 = 0"""),
     "vendor_bars_dup": (("vendor_bars",), """
 SELECT * FROM {vendor_bars}
 UNION ALL
@@ -110,16 +120,23 @@ SELECT * EXCLUDE (rn) FROM (
   FROM vendor_bars_dup) WHERE rn = 1"""),
     "last_bars": (("deduped_bars",), """
 SELECT Exchange, Symbol, max(Timestamp) AS LastBarTs FROM deduped_bars GROUP BY Exchange, Symbol"""),
-    "stitched": (("deduped_bars", "last_bars", "quote_bars"), """
+    "settled": (("settled_bars_dup",), """
+SELECT * EXCLUDE (rn) FROM (
+  SELECT upper(Exchange) AS Exchange, upper(Symbol) AS Symbol, Timestamp, Open, High, Low, Close, Volume, IsFinal, arrival,
+         row_number() OVER (PARTITION BY upper(Exchange), upper(Symbol), Timestamp ORDER BY arrival DESC) AS rn
+  FROM settled_bars_dup) WHERE rn = 1"""),
+    "last_settled": (("settled",), """
+SELECT Exchange, Symbol, max(Timestamp) AS LastBarTs FROM settled GROUP BY Exchange, Symbol"""),
+    "stitched": (("settled", "last_settled", "quote_bars"), """
 SELECT Timestamp, Exchange, Symbol, hour(Timestamp) * 60 + minute(Timestamp) AS BarId, Open, High, Low, Close, Volume, IsFinal
 FROM (
   SELECT *, row_number() OVER (PARTITION BY Exchange, Symbol, Timestamp
                                ORDER BY CASE WHEN IsFinal THEN 2 ELSE 1 END DESC, arrival DESC) AS rn
   FROM (
-    SELECT Exchange, Symbol, Timestamp, Open, High, Low, Close, Volume, IsFinal, arrival FROM deduped_bars
+    SELECT Exchange, Symbol, Timestamp, Open, High, Low, Close, Volume, IsFinal, arrival FROM settled
     UNION ALL
     SELECT q.Exchange, q.Symbol, q.Timestamp, q.Open, q.High, q.Low, q.Close, q.Volume, q.IsFinal, 0
-    FROM quote_bars q LEFT JOIN last_bars l ON q.Exchange = l.Exchange AND q.Symbol = l.Symbol
+    FROM quote_bars q LEFT JOIN last_settled l ON q.Exchange = l.Exchange AND q.Symbol = l.Symbol
     WHERE l.LastBarTs IS NULL OR q.Timestamp > l.LastBarTs))
 WHERE rn = 1"""),
     "journal": (("ticks",), """

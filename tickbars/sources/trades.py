@@ -54,7 +54,7 @@ def parse_trade_json(raw: DataFrame, column: str = "value") -> DataFrame:
 def parse_trade_rest(raw: DataFrame, column: str = "value", symbol: str | None = None) -> DataFrame:
     """Trade rows from a request-reply source, with its alternative keys, to ticks.
 
-    A key holding 0 or empty text counts as missing and the next alternative is tried.
+    A key holding 0 or empty text counts as missing and the next alternative is tried; an id of 0 stays if no other is there.
     """
     m = F.col("m")
 
@@ -77,7 +77,7 @@ def parse_trade_rest(raw: DataFrame, column: str = "value", symbol: str | None =
     named = F.lit(symbol) if symbol else F.coalesce(first_text("symbol", "symbol_short"), F.lit(""))
     ts_ns = F.coalesce(ms_to_ns(first_id("ms", "ms_short", "ms_long", "ms_full")), F.lit(0))
     return raw.select(fields.alias("m")) \
-        .select(*_tick(F.upper(named), ts_ns, first_id("id", "id_long", "id_short"), payload))
+        .select(*_tick(F.upper(named), ts_ns, F.coalesce(first_id("id", "id_long", "id_short"), to_long(m["id"])), payload))
 
 
 def flatten_trades(ticks: DataFrame) -> DataFrame:
