@@ -196,3 +196,13 @@ def test_consumers_have_cursors_of_their_own(spark, dirs):
     assert got == {"one": 2, "two": 1}
     finish(feeds.independent_consumers(lambda: stream(spark, source), {"two": count("two")}, checkpoint)["two"])
     assert got == {"one": 2, "two": 2}
+
+
+def test_bars_of_a_silent_symbol_reach_its_subscriber(spark, dirs):
+    source, _, _, checkpoint = dirs
+    got = []
+    land(spark, source, [trade("A", 1, 0), trade("B", 2, 20 * 60)])
+    completed = bars.stream_bars(stream(spark, source), 1, "1 minute")
+    spec = feed.feed_spec("binance", "ohlcv_1m")
+    finish(feeds.subscribe_foreach(completed, spec, "A", lambda df, b: got.extend(df.collect()), checkpoint))
+    assert [(r.Symbol, r.Trades) for r in got] == [("A", 1)]

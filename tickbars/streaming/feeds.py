@@ -53,19 +53,21 @@ def subscribe_foreach(stream: DataFrame, spec: FeedSpec, symbol: str, callback:
                       exchange: str | None = None, trigger: dict | None = None) -> StreamingQuery:
     """Deliver the rows of one symbol of a feed to a callback, batch by batch.
 
-    Pass completed bars (``stream_bars``, append) for completed ones only, or a change feed. The
-    symbol filter reaches the source, in front of the watermark: a bar closes with the progress of its
-    own symbol. The returned query is the subscription; ``stop()`` ends it.
+    Pass completed bars (``stream_bars``, or ``closed_by_clock``) for completed ones only, or a change feed.
+    The symbol is picked out of each batch of the feed, behind its watermark: bars of a silent symbol close
+    with the progress of the others, or of the clock. The returned query is the subscription; ``stop()`` ends it.
     """
     if not isinstance(symbol, str):
         raise ValueError("only one symbol per subscription")
-    rows = filter_symbol(stream, symbol, spec.symbol_col)
-    if "Exchange" in spec.cols:
-        rows = filter_exchange(rows, exchange)
-    picked = project_fields(rows, fields)
-    if picked is None:
+    if project_fields(stream, fields) is None:
         raise ValueError("no requested field exists in this feed")
-    return start(picked, callback, checkpoint, trigger=trigger)
+
+    def deliver(rows: DataFrame, batch_id: int) -> None:
+        own = filter_symbol(rows, symbol, spec.symbol_col)
+        if "Exchange" in spec.cols:
+            own = filter_exchange(own, exchange)
+        callback(project_fields(own, fields), batch_id)
+    return start(stream, deliver, checkpoint, trigger=trigger)
 
 
 def attach_gapless(snapshot: DataFrame, live: DataFrame, spec: FeedSpec, emit: BatchFn, checkpoint: str, *,
