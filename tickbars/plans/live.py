@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickbars.functions import epoch_us
-from tickbars.operators import bars, feed
+from tickbars.operators import bars, feed, incremental
 from tickbars.operators.filters import filter_time_range
 from tickbars.operators.latest import latest_by_key
 from tickbars.plans.feeds import ATTACH_NS, DAY_NS, GAPLESS
@@ -71,6 +71,26 @@ def forced_completion(t: Tables) -> DataFrame:
     return rounded(_to_files(t, live.closed_by_clock(trade_stream(t), beats, 1, DELAY)), "Vwap")
 
 
+@query("late_rows", "bars_1m", f"SELECT {_BAR} FROM bars_1m")
+def late_rows(t: Tables) -> DataFrame:
+    """A tenth of the trades comes after all others: closed bars, then the correction by what was late."""
+    out = shared_dir(t.spark, "late")
+    rows = t.view("trades").select("Symbol", "TradeID", "Price", "Quantity", "BuyerID", "Timestamp", "IsBuyerMaker")
+    for which in ("TradeID % 10 <> 0", "TradeID % 10 = 0"):
+        rows.filter(which).coalesce(1).write.mode("append").parquet(f"{out}/trades")
+    end = rows.agg((F.max("Timestamp") + F.expr("INTERVAL '5' MINUTE")).cast("timestamp").alias("Timestamp"))
+    end.write.parquet(f"{out}/beats")
+
+    def stream() -> DataFrame:
+        return live.read_ticks(t.spark, f"{out}/trades", rows.schema, max_files=1)
+
+    beats = live.read_ticks(t.spark, f"{out}/beats", "Timestamp TIMESTAMP")
+    closed = _to_files(t, live.closed_by_clock(stream(), beats, 1, DELAY))
+    _finished([state.start(stream(), live.late_rows(f"{out}/late", f"{out}/newest", DELAY), f"{out}/checkpoint")])
+    late = t.spark.read.parquet(f"{out}/late").withColumn("Timestamp", F.col("Timestamp").cast("timestamp_ntz"))
+    return rounded(incremental.reaggregate_late(closed, t.spark.read.parquet(f"{out}/trades"), late), "Vwap")
+
+
 @query("bar_change_feed", "bars_1m", f"""
 SELECT 'added' AS part, {_BAR} FROM bars_1m
 UNION ALL SELECT 'completed', {_BAR} FROM (SELECT *, lead(Timestamp) OVER (PARTITION BY Symbol ORDER BY Timestamp) AS later FROM bars_1m) WHERE later IS NOT NULL""")

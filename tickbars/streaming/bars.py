@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 
 from tickbars.functions import vwap
 from tickbars.operators.bars import finish_bars, rollup_aggregates, trade_aggregates
+from tickbars.streaming.state import BatchFn, Versions
 
 
-def read_ticks(spark, path: str, schema, max_files: int | None = None) -> DataFrame:
-    """A stream of Parquet files with a declared schema; un-zoned times become UTC instants."""
-    reader = spark.readStream.schema(schema)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    stream = reader.parquet(path)
+MAX_FILES = 64
+
+
+def read_ticks(spark, path: str, schema, max_files: int = MAX_FILES) -> DataFrame:
+    """A stream of Parquet files with a declared schema; un-zoned times become UTC instants.
+
+    A micro-batch takes ``max_files`` files at most, so a long backlog is read in bounded steps.
+    """
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
     zoned = [f.name for f in stream.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
     return stream.withColumns({c: F.col(c).cast("timestamp") for c in zoned}) if zoned else stream
 
@@ -54,6 +58,25 @@ def stream_rollup(trades: DataFrame, period_minutes: int = 5, delay: str = "1 mi
     return _exposed(longer.withColumnRenamed("longer", "w"), period_minutes)
 
 
+def late_rows(out: str, state: str, delay: str = "1 minute") -> BatchFn:
+    """A ``foreachBatch`` function over the raw trades that keeps those a watermark of ``delay`` may have dropped.
+
+    A row is late if it is more than the delay behind the newest of the batches before its own. Late rows go to a
+    table, a folder per batch, for ``reaggregate_late`` to correct the bars they belong to.
+    """
+    newest = Versions(state)
+
+    def run(trades: DataFrame, batch_id: int) -> None:
+        spark = trades.sparkSession
+        before = newest.before(spark, batch_id)
+        seen = before.first()[0] if before is not None else None
+        late = trades.limit(0) if seen is None else trades.filter(F.col("Timestamp") < F.lit(seen) - F.expr(f"INTERVAL {delay}"))
+        late.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        now = trades.agg(F.max("Timestamp").alias("seen"))
+        newest.write(now if before is None else now.unionByName(before).agg(F.max("seen").alias("seen")), batch_id)
+    return run
+
+
 def with_heartbeats(trades: DataFrame, beats: DataFrame, time_col: str = "Timestamp") -> DataFrame:
     """Trades joined by clock rows that carry nothing but a time.
 
