@@ -48,12 +48,14 @@ def latest_error_per_instance(events: DataFrame, seq: str = "ts") -> DataFrame:
 def heartbeats(beats: DataFrame, seq: str = "seqcol") -> DataFrame:
     """Latest beat per (service, name, role).
 
-    A beat without meta keeps the last meta given; uptime counts from the start, never below 0. One
-    aggregate per column over one ordering, so nothing but the winners leaves an input task.
+    A beat without meta keeps the last meta given; uptime counts from the start, never below 0. Beats that
+    do not say when their service started count from the first of them. One aggregate per column over one
+    ordering, so nothing but the winners leaves an input task.
     """
-    plain = ("state", "started_at", "last_heartbeat", "last_error")
+    plain = [c for c in ("state", "started_at", "last_heartbeat", "last_error") if c in beats.columns]
+    first = [] if "started_at" in beats.columns else [F.min("last_heartbeat").alias("started_at")]
     latest = beats.groupBy(*HEARTBEAT_KEY).agg(
-        *[F.max_by(c, seq).alias(c) for c in plain],
+        *[F.max_by(c, seq).alias(c) for c in plain], *first,
         F.max_by("meta", F.when(F.col("meta").isNotNull(), F.col(seq))).alias("meta"),
     )
     seconds = F.floor((epoch_us(F.col("last_heartbeat")) - epoch_us(F.col("started_at"))) / F.lit(1_000_000))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tickbars import schemas
 from tickbars.functions import instant_to_ns
-from tickbars.operators.bars import completed_bars, quote_bars, rollup_unified_bars, trade_bars
+from tickbars.operators.bars import completed_bars, newest_bar_time, quote_bars, rollup_unified_bars, trade_bars
 from tickbars.operators.bins import fill_bars, spine_start
 from tickbars.operators.filters import drop_placeholders, filter_exchange, filter_symbol, filter_time_range, project_fields
 from tickbars.operators.stitch import stitch_bars
@@ -120,7 +120,10 @@ def snapshot_range(sources: Sources, provider: str, data_schema: str, symbol: st
     rows = of_symbol(spec.build(_within_bars(spec, sources, start_ns, end_ns)))
     rows = filter_time_range(drop_placeholders(rows), spec.time_col, start_ns, end_ns, bound_resolution)
     if spec.bin_minutes and not include_open_bar:
-        newest = of_symbol(spec.build(sources)).groupBy(*spec.keys).agg(F.max(spec.time_col).alias("_newest"))
+        if spec.source == schemas.TRADES:  # every trade makes a bar
+            newest = newest_bar_time(of_symbol(sources[spec.source]), spec.source_time, spec.bin_minutes, spec.keys)
+        else:
+            newest = of_symbol(spec.build(sources)).groupBy(*spec.keys).agg(F.max(spec.time_col).alias("_newest"))
         rows = completed_bars(rows, spec.keys, newest)
     if ordered:
         rows = rows.orderBy(spec.time_col)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tickbars import schemas
 from tickbars.functions import ntz
-from tickbars.operators import bars, feed, incremental
+from tickbars.operators import bars, catalog, feed, incremental
 from tickbars.operators.filters import filter_time_range
 from tickbars.plans.bars import bars_1m, stitched_1m
 from tickbars.plans.quotes import quotes_table
@@ -43,6 +43,23 @@ def snapshot_stitched(t: Tables) -> DataFrame:
     return feed.snapshot_range(sources(t), "tradingview", "ohlcv_1m", "CLICK", exchange="cme", start_ns=START_NS, end_ns=END_NS + 8 * 86_400_000_000_000)
 
 
+@query("public_ohlcv_5m", "bars_5m", f"SELECT {_BAR} FROM bars_5m")
+def public_ohlcv_5m(t: Tables) -> DataFrame:
+    return rounded(catalog.table("binance_ohlcv_5m", sources(t), t.as_of()), "Vwap")
+
+
+@query("public_tv_bars_1m", "stitched", "SELECT Timestamp, Exchange, Symbol, BarId, Open, High, Low, Close, Volume, IsFinal FROM stitched")
+def public_tv_bars_1m(t: Tables) -> DataFrame:
+    return catalog.table("tv_bars_1m", sources(t), t.as_of())
+
+
+@query("public_configs", "configs", """
+SELECT provider, name, symbols, autostart, deleted, updated_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY provider, name ORDER BY seqcol DESC) AS rn FROM configs) WHERE rn = 1 AND NOT deleted""")
+def public_configs(t: Tables) -> DataFrame:
+    return catalog.table("configs", {"configs": t.view("configs")}, t.as_of())
+
+
 @query("snapshot_quotes", "quotes", """
 SELECT LpTime, Symbol, LastPrice, Bid FROM quotes WHERE Symbol = 'ERROR' ORDER BY LpTime""")
 def snapshot_quotes(t: Tables) -> DataFrame:

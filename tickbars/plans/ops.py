@@ -72,9 +72,7 @@ SELECT service, name, role, arg_max(level, seqcol) AS state, min(ts) AS started_
 FROM eventlog GROUP BY service, name, role""")
 def heartbeats(t: Tables) -> DataFrame:
     """Log rows read as beats: started at the first of a key, meta given by every third."""
-    log = t.view("eventlog")
-    first = log.groupBy("service", "name", "role").agg(F.min("ts").alias("started_at"))
-    beats = log.join(first, ["service", "name", "role"]).select(
-        "service", "name", "role", F.col("level").alias("state"), "started_at", F.col("ts").alias("last_heartbeat"),
+    beats = t.view("eventlog").select(
+        "service", "name", "role", F.col("level").alias("state"), F.col("ts").alias("last_heartbeat"),
         F.lit(None).cast("string").alias("last_error"), F.when(F.col("seqcol") % 3 == 0, F.col("meta")).alias("meta"), "seqcol")
     return eventlog.heartbeats(beats)
