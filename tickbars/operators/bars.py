@@ -67,21 +67,31 @@ def rollup_trade_bars(bars: DataFrame, period_minutes: int, keys: Sequence[str]
     return finish_bars(longer.withColumnRenamed("_bar", "Timestamp"), period_minutes, extra)
 
 
-def quote_bars(quotes: DataFrame, period_minutes: int = 1, tiebreak: str = "arrival") -> DataFrame:
-    """Quotes to provisional bars of the last price; volume is the sum of volume increments."""
+def quote_aggregates(quotes: DataFrame, tiebreak: str = "arrival") -> list[Column]:
+    """Aggregates of a provisional bar over quotes."""
     order = event_order(F.col("LpTime"), F.col(tiebreak) if tiebreak in quotes.columns else F.lit(0))
-    bars = quotes.groupBy("Exchange", "Symbol", bar_window(F.col("LpTime"), period_minutes).alias("Timestamp")).agg(
+    return [
         F.min_by("LastPrice", order).alias("Open"),
         F.max("LastPrice").alias("High"),
         F.min("LastPrice").alias("Low"),
         F.max_by("LastPrice", order).alias("Close"),
         F.sum("VolDelta").alias("Volume"),
-    )
+    ]
+
+
+def finish_quote_bars(bars: DataFrame, period_minutes: int = 1) -> DataFrame:
+    """Aggregates to provisional bars with the exposed columns."""
     return bars.withColumn("BarId", bar_id(F.col("Timestamp"), period_minutes)) \
         .withColumn("IsFinal", F.lit(False)) \
         .select(*schemas.UNIFIED_BAR_COLS)
 
 
+def quote_bars(quotes: DataFrame, period_minutes: int = 1, tiebreak: str = "arrival") -> DataFrame:
+    """Quotes to provisional bars of the last price; volume is the sum of volume increments."""
+    bars = quotes.groupBy("Exchange", "Symbol", bar_window(F.col("LpTime"), period_minutes).alias("Timestamp")).agg(*quote_aggregates(quotes, tiebreak))
+    return finish_quote_bars(bars, period_minutes)
+
+
 def rollup_unified_bars(bars: DataFrame, period_minutes: int) -> DataFrame:
     """Stitched bars to longer ones; final only when every part is."""
     at = F.col("Timestamp")

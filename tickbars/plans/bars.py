@@ -56,12 +56,15 @@ def stitch_bars(t: Tables) -> DataFrame:
     return stitched_1m(t)
 
 
-@query("stitched_5m", "stitched", """
+ORACLE_STITCHED_5M = """
 SELECT b AS Timestamp, Exchange, Symbol, (hour(b) * 60 + minute(b)) // 5 AS BarId,
        arg_min_null(Open, Timestamp) AS Open, max(High) AS High, min(Low) AS Low, arg_max_null(Close, Timestamp) AS Close,
        sum(Volume) AS Volume, bool_and(IsFinal) AS IsFinal
 FROM (SELECT *, time_bucket(INTERVAL '5' MINUTE, Timestamp) AS b FROM stitched)
-GROUP BY b, Exchange, Symbol""")
+GROUP BY b, Exchange, Symbol"""
+
+
+@query("stitched_5m", "stitched", ORACLE_STITCHED_5M)
 def stitched_5m(t: Tables) -> DataFrame:
     return bars.rollup_unified_bars(stitched_1m(t), 5)
 

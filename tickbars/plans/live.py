@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickbars.functions import epoch_us
-from tickbars.operators import bars, feed, incremental
+from tickbars.functions import epoch_us, ntz
+from tickbars.operators import bars, feed, incremental, stitch
 from tickbars.operators.filters import filter_time_range
 from tickbars.operators.latest import latest_by_key
+from tickbars.plans.bars import ORACLE_STITCHED_5M
 from tickbars.plans.feeds import ATTACH_NS, DAY_NS, GAPLESS
-from tickbars.plans.quotes import updates
+from tickbars.plans.quotes import quotes_table, updates
 from tickbars.plans.registry import Tables, query, rounded
 from tickbars.session import shared_dir
 from tickbars.streaming import bars as live
@@ -71,6 +72,57 @@ def forced_completion(t: Tables) -> DataFrame:
     return rounded(_to_files(t, live.closed_by_clock(trade_stream(t), beats, 1, DELAY)), "Vwap")
 
 
+def _in_thirds(t: Tables, rows: DataFrame, time_col: str, path: str) -> None:
+    """Land rows as three files, in the order of a time column."""
+    low, high = rows.agg(F.min(time_col), F.max(time_col)).first()
+    cuts = [ntz(low + (high - low) * i / 3) for i in (1, 2)]
+    at = F.col(time_col)
+    for part in (at < cuts[0], (at >= cuts[0]) & (at < cuts[1]), at >= cuts[1]):
+        rows.filter(part).coalesce(1).write.mode("append").parquet(path)
+
+
+def _live_quote_bars(t: Tables) -> DataFrame:
+    """Provisional bars from quotes that come in three micro-batches; a clock row after them closes the last bars."""
+    out = shared_dir(t.spark, "quotes")
+    rows = quotes_table(t).drop("Change", "ChangePct")
+    rows.write.parquet(f"{out}/all")
+    _in_thirds(t, t.spark.read.schema(rows.schema).parquet(f"{out}/all"), "LpTime", f"{out}/quotes")
+    beat = rows.agg((F.max("LpTime") + F.expr("INTERVAL '5' MINUTE")).alias("LpTime"))
+    rows.limit(0).unionByName(beat, allowMissingColumns=True).coalesce(1).write.mode("append").parquet(f"{out}/quotes")
+    return _to_files(t, live.stream_quote_bars(live.read_ticks(t.spark, f"{out}/quotes", rows.schema, max_files=1), 1, DELAY))
+
+
+def _live_vendor_bars(t: Tables) -> DataFrame:
+    """Vendor bars as they come, repaints among them, in three micro-batches."""
+    out = shared_dir(t.spark, "vendor")
+    rows = t.view("settled_bars_dup")
+    _in_thirds(t, rows, "Timestamp", f"{out}/bars")
+    return _to_files(t, live.read_ticks(t.spark, f"{out}/bars", rows.schema, max_files=1)).withColumn("Timestamp", F.col("Timestamp").cast("timestamp_ntz"))
+
+
+def _live_stitched(t: Tables) -> DataFrame:
+    """What the two streams have landed so far, stitched when it is read: a late vendor bar outranks its stand-in at once."""
+    return stitch.stitch_bars(_live_vendor_bars(t), _live_quote_bars(t))
+
+
+_UNIFIED = "Timestamp, Exchange, Symbol, BarId, Open, High, Low, Close, Volume, IsFinal"
+
+
+@query("stream_quote_bars", "quote_bars", f"SELECT {_UNIFIED} FROM quote_bars")
+def stream_quote_bars(t: Tables) -> DataFrame:
+    return _live_quote_bars(t)
+
+
+@query("stream_stitched_1m", "stitched", f"SELECT {_UNIFIED} FROM stitched")
+def stream_stitched_1m(t: Tables) -> DataFrame:
+    return _live_stitched(t)
+
+
+@query("stream_stitched_5m", "stitched", ORACLE_STITCHED_5M)
+def stream_stitched_5m(t: Tables) -> DataFrame:
+    return bars.rollup_unified_bars(_live_stitched(t), 5)
+
+
 @query("late_rows", "bars_1m", f"SELECT {_BAR} FROM bars_1m")
 def late_rows(t: Tables) -> DataFrame:
     """A tenth of the trades comes after all others: closed bars, then the correction by what was late."""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickbars.functions import vwap
-from tickbars.operators.bars import finish_bars, rollup_aggregates, trade_aggregates
+from tickbars.operators.bars import finish_bars, finish_quote_bars, quote_aggregates, rollup_aggregates, trade_aggregates
 from tickbars.streaming.state import BatchFn, Versions
 
 
@@ -58,6 +58,16 @@ def stream_rollup(trades: DataFrame, period_minutes: int = 5, delay: str = "1 mi
     return _exposed(longer.withColumnRenamed("longer", "w"), period_minutes)
 
 
+def stream_quote_bars(quotes: DataFrame, period_minutes: int = 1, delay: str = "1 minute") -> DataFrame:
+    """Provisional bars over a stream of quotes, in append or update mode like ``stream_bars``.
+
+    Clock rows, with nothing but a time, may be among the quotes: they move the watermark and make no bars.
+    """
+    windows = quotes.withWatermark("LpTime", delay).groupBy("Exchange", "Symbol", F.window("LpTime", f"{period_minutes} minutes").alias("w"))
+    bars = windows.agg(*quote_aggregates(quotes)).filter(F.col("Volume").isNotNull())
+    return finish_quote_bars(bars.withColumn("Timestamp", F.col("w.start").cast("timestamp_ntz")), period_minutes)
+
+
 def late_rows(out: str, state: str, delay: str = "1 minute") -> BatchFn:
     """A ``foreachBatch`` function over the raw trades that keeps those a watermark of ``delay`` may have dropped.
 
