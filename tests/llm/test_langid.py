@@ -77,7 +77,7 @@ def test_model_is_interpolated_kneser_ney():
         expected = [-np.log2(p(tuple(c[i - langid.ORDER + 1:i + 1]))) for i in range(langid.ORDER - 1, len(c))]
         h, n = model.entropies(langid.codes(t))
         assert n == len(expected) and abs(h[0] - np.mean(expected)) < 1e-4
-        both, sizes = model.entropies_of([langid.codes(x) for x in ("the", t, "", "mat")])
+        both, sizes = model.entropies_of((langid.codes(x) for x in ("the", t, "", "mat")), 4)
         assert abs(both[1][0] - h[0]) < 1e-4 and sizes.tolist()[1:3] == [n, 0]
 
 

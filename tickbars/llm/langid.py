@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +18,7 @@ LEARNED_DOCS = 400
 LEARNED_CHARS = 8000
 LANGUAGES = 64
 #: Characters scored at once, and places of the table of scores known already.
-SLICE = 1 << 20
+SLICE = 1 << 18
 KNOWN_BITS = 18
 #: The score of a document is the probability of its language given so many independent characters at most.
 EVIDENCE = 50
@@ -217,13 +217,13 @@ class Model:
         n = len(c) - ORDER + 1
         return total / n, n
 
-    def entropies_of(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for many texts, the short ones together."""
-        out, sizes = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), dtype=np.int64)
+    def entropies_of(self, texts: Iterable[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same for ``n`` texts, the short ones together; no more than a slice of them is held at a time."""
+        out, sizes = np.zeros((n, len(self.languages))), np.zeros(n, dtype=np.int64)
         batch: list[int] = []
+        joined: list[np.ndarray] = []
 
         def run() -> None:
-            joined = [padded(texts[i]) for i in batch]
             starts = np.cumsum([0, *map(len, joined)])[:-1]
             scores = self._position_scores(np.concatenate(joined))
             # The first places of a text see the end of the one before; they are set aside.
@@ -232,6 +232,7 @@ class Model:
             out[batch] = -np.add.reduceat(scores, np.maximum(starts - (ORDER - 1), 0), axis=0, dtype=np.float64)
             sizes[batch] = [len(x) - ORDER + 1 for x in joined]
             batch.clear()
+            joined.clear()
 
         held = 0
         for i, c in enumerate(texts):
@@ -242,6 +243,7 @@ class Model:
                 out[i] *= sizes[i]
                 continue
             batch.append(i)
+            joined.append(padded(c))
             held += len(c)
             if held > SLICE:
                 run()
@@ -253,7 +255,7 @@ class Model:
     def classify(self, texts: list[str | None]) -> pd.DataFrame:
         if not self.languages:
             return pd.DataFrame({"lang_pred": [NONE] * len(texts), "score": 0.0, "rejected": True, "entropy": np.nan})
-        h, n = self.entropies_of([codes(t or "") for t in texts])
+        h, n = self.entropies_of((codes(t or "") for t in texts), len(texts))
         best = h.argmin(axis=1)
         least = h[np.arange(len(h)), best]
         score = 1 / np.exp2(-(h - least[:, None]) * np.minimum(n, EVIDENCE)[:, None]).sum(axis=1)
@@ -302,7 +304,8 @@ def predicted(model: Model, spark) -> Column:
         for part in texts:
             yield shared.value.classify(part.tolist())
 
-    return classify(F.col("text"))
+    # Else the planner would run it once for the filter on its result and again for the result.
+    return classify.asNondeterministic()(F.col("text"))
 
 
 def identify(docs: DataFrame) -> DataFrame:
