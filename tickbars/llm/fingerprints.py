@@ -22,6 +22,9 @@ SHARES = 12
 #: Subsets that the likeness of two fingerprints looks at, the sparsest with a term first.
 COMPARED = 24
 _SEED = 7
+#: A term is in a subset if its draw lies below the limit of its share.
+_LIMITS = np.array([1 << 64 - level for level in range(1, SHARES)], dtype=np.uint64)
+_SALTS = np.array([[(j + 1) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1] for j in range(SUBSETS)], dtype=np.uint64)
 #: Text that one range of documents holds, about, and the most ranges.
 RANGE_BYTES = 32 << 20
 MOST_RANGES = 10_000
@@ -45,24 +48,19 @@ def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
 
 
 def subset_hashes(hashes: np.ndarray) -> np.ndarray:
-    """One 16-bit hash per lexicon subset, of the sorted terms in it; 0 where none is.
+    """One 16-bit hash per lexicon subset, of the distinct terms in it; 0 where none is.
 
-    Subset j holds the terms whose j-th hash lies below its share: random, but the same for all documents.
+    Subset j holds the terms whose j-th hash lies below its share: random, but the same for all documents. Sorted
+    by that hash, the terms of each share come first, so one running sum of their hashes has those of all shares.
     """
-    out = np.zeros(SUBSETS * SHARES, dtype=np.uint16)
-    hashes = np.sort(hashes)
     if not len(hashes):
-        return out
-    for j in range(SUBSETS):
-        part, draws = hashes, _mixed(hashes, j + 1)
-        for level in range(SHARES):
-            if level:
-                below = draws < np.uint64(1 << 64 - level)
-                part, draws = part[below], draws[below]
-            if not len(part):
-                break
-            out[level * SUBSETS + j] = xxhash.xxh3_64_intdigest(part.tobytes(), j) % 65535 + 1
-    return out
+        return np.zeros(SUBSETS * SHARES, dtype=np.uint16)
+    with np.errstate(over="ignore"):
+        draws = np.sort(_mixed(hashes ^ _SALTS, 1), axis=1)
+        sums = np.cumsum(_mixed(draws, 2), axis=1)
+    n = np.concatenate([np.full((1, SUBSETS), len(hashes)), *[np.count_nonzero(draws < limit, axis=1)[None] for limit in _LIMITS]])
+    found = _mixed(sums[np.arange(SUBSETS), np.maximum(n, 1) - 1], 3) % np.uint64(65535) + np.uint64(1)
+    return np.where(n > 0, found, np.uint64(0)).astype(np.uint16).ravel()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
