@@ -64,3 +64,15 @@ def test_learned_formats_add_and_clean_words_stay(spark):
     out = {r.doc_id: r for r in secrets.scan_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out[1000].n_added == 1 and out[1000].spans.startswith("like_assign:4:28")
     assert all(out[i].n_added == 0 for i in [*range(300), 1001])
+
+
+def test_many_unlabelled_credentials_are_found(spark):
+    import random
+
+    rng = random.Random(4)
+    draw = lambda k: "".join(rng.choices("abcdef0123456789", k=k))
+    rows = [(i, f"internationalization and electroencephalograph token={draw(24)} or characteristically{i % 7}") for i in range(300)]
+    rows += [(1000 + i, f"see {draw(24)} there") for i in range(40)] + [(2000, "counterrevolutionary misunderstandings everywhere")]
+    out = {r.doc_id: r.n_added for r in secrets.scan_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(out[1000 + i] for i in range(40)) >= 36
+    assert all(out[i] == 0 for i in [*range(300), 2000])

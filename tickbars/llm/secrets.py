@@ -26,6 +26,8 @@ RUN = re.compile(f"[A-Za-z0-9+/_.=-]{{{CANDIDATE_CHARS},}}")
 LEARNED = 400
 ORDINARY = 4000
 LEARNED_CHARS = 128
+#: A candidate is explained better than an ordinary run by so many bits per character at least.
+MARGIN = 0.5
 #: Significance of the test by which states count as different.
 ALPHA = 0.05
 ALPHABET = 67
@@ -185,15 +187,20 @@ def _quantile(values: list[float], q: float) -> float:
 def learn(labelled: dict[str, list[str]], ordinary: list[str]) -> Formats:
     """Automata from four fifths of the labelled strings; the score from which candidates count from the others.
 
-    It lies between what nearly all labelled strings reach and what nearly no ordinary run does, and never below
-    the latter, so that clean texts stay clean.
+    It is what nearly all labelled strings reach, and ``MARGIN`` at least. Candidates that reach it are not ordinary:
+    the model of ordinary runs is fitted again without them, so that it does not matter how many there are.
     """
     fit = {k: [s for i, s in enumerate(v) if i % 5] for k, v in labelled.items()}
     held = [s for v in labelled.values() for s in v[::5]]
-    formats = Formats({k: infer(v) for k, v in fit.items() if v}, Ordinary.of([s for i, s in enumerate(ordinary) if i % 5]))
-    yes = _quantile([formats.score(s)[0] for s in held], 0.01) if held else math.inf
-    no = max(_quantile([formats.score(s)[0] for s in ordinary], 0.999) if ordinary else 0.0, 0.0)
-    formats.least = max(no, (yes + no) / 2)
+    automata, plain = {k: infer(v) for k, v in fit.items() if v}, ordinary
+    for _ in range(4):
+        formats = Formats(automata, Ordinary.of(plain))
+        yes = _quantile([formats.score(s)[0] for s in held], 0.01) if held else math.inf
+        formats.least = max(yes, MARGIN)
+        left = [s for s in ordinary if formats.score(s)[0] < formats.least]
+        if left == plain:
+            break
+        plain = left
     return formats
 
 
