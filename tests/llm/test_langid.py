@@ -88,3 +88,19 @@ def test_slices_do_not_matter(monkeypatch):
     monkeypatch.setattr(langid, "SLICE", 64)
     parts, m = model.entropies(t)
     assert n == m and np.allclose(whole, parts, atol=1e-4)
+
+
+def test_a_mislabelled_calibration_document_does_not_end_rejection():
+    import random
+
+    from tickbars.llm import langid
+
+    rng = random.Random(2)
+    words = {k: ["".join(rng.choices(a, k=rng.randint(2, 8))) for _ in range(200)] for k, a in (("a", "abcdefgh"), ("b", "ijklmnop"), ("c", "aeimqtuv"))}
+    text = lambda k, n=120: " ".join(rng.choices(words[k], k=n))
+    own = {k: [text(k) for _ in range(80)] for k in "ab"}
+    own["a"][3] = own["b"][7] = text("c")  # every fourth document calibrates
+    model = langid.Model(own)
+    noise = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(120))
+    assert model.classify([text("c") for _ in range(5)] + [noise]).rejected.all()
+    assert not model.classify([text(k) for k in "ab" for _ in range(20)]).rejected.any()

@@ -22,9 +22,11 @@ SLICE = 1 << 18
 KNOWN_BITS = 18
 #: The score of a document is the probability of its language given so many independent characters at most.
 EVIDENCE = 50
-#: A document is rejected if its entropy is this many times as far from its language as any calibration document,
-#: and by so many bits at least, so that a small calibration set does not reject clean documents.
+#: A document is rejected if its entropy is this many times as far from its language as this share of the calibration
+#: documents, and by so many bits at least, so that a small calibration set does not reject clean documents. Beyond
+#: the share may be foreign passages and wrong labels.
 TOLERANCE = 3.0
+CALIBRATED = 0.9
 LEAST_GAP = 1.5
 NONE = "und"
 
@@ -154,8 +156,8 @@ class Model:
             found = [(h[j], n) for h, n in map(self.entropies, map(codes, held[lang])) if n]
             if found:
                 h, n = np.array(found).T
-                self.center[j] = np.average(h, weights=n)
-                self.spread[j] = TOLERANCE * max(np.max((h - self.center[j]) / self._scale(n)), 0.1)
+                self.center[j] = np.median(h)
+                self.spread[j] = TOLERANCE * max(np.quantile((h - self.center[j]) / self._scale(n), CALIBRATED), 0.1)
 
     @staticmethod
     def _scale(n):
