@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickbars.llm import fingerprints, langid, lines, mixing, packing, secrets, simhash, tokens, topk, urlfilter
+from tickbars.llm import fingerprints, infilling, langid, lines, mixing, packing, secrets, simhash, tokens, topk, urlfilter
 from tickbars.llm.common import table
 from tickbars.session import configure
 
@@ -108,6 +108,32 @@ def op10(pages: DataFrame) -> DataFrame:
     return urlfilter.judge(pages, F.col("url").startswith("http://"))
 
 
+@_query("op11_fill_in_middle", "documents", """
+    WITH d AS (
+        SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+    ), drawn AS (
+        SELECT *, string_split(text, chr(10)) AS parts, CAST(concat('0x', substring(h, 1, 8)) AS BIGINT) AS h1,
+               CAST(concat('0x', substring(h, 9, 8)) AS BIGINT) AS h2, CAST(concat('0x', substring(h, 25, 8)) AS BIGINT) AS h4 FROM d
+    ), counted AS (
+        SELECT *, len(parts) - CASE WHEN parts[len(parts)] = '' THEN 1 ELSE 0 END AS n FROM drawn
+    ), ranked AS (
+        SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+               text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') AS plain FROM counted
+    ), cut AS (
+        SELECT *, least(length(text), length(array_to_string(parts[1:a], chr(10))) + CASE WHEN a > 0 THEN 1 ELSE 0 END) AS pa,
+               least(length(text), length(array_to_string(parts[1:b], chr(10))) + CASE WHEN b > 0 THEN 1 ELSE 0 END) AS pb FROM ranked
+    ), pieces AS (
+        SELECT *, substring(text, 1, pa) AS p, substring(text, pa + 1, pb - pa) AS m, substring(text, pb + 1) AS s FROM cut
+    )
+    SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+           CASE WHEN NOT plain THEN pa END AS prefix_chars, CASE WHEN NOT plain THEN pb - pa END AS middle_chars,
+           sha256(CASE WHEN plain THEN text WHEN h4 % 100 < 50 THEN '<S>' || s || '<P>' || p || '<M>' || m
+                       ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM pieces""")
+def op11(docs: DataFrame) -> DataFrame:
+    return infilling.fill_in_middle(docs).select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                                                 F.sha2(infilling.restored(), 256).alias("restored_sha256"))
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
