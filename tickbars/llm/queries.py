@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickbars.llm import fingerprints, infilling, langid, lines, mixing, packing, secrets, simhash, tokens, topk, urlfilter
+from tickbars.llm import fingerprints, infilling, langid, lines, mixing, packing, runs, secrets, simhash, tokens, topk, urlfilter
 from tickbars.llm.common import table
 from tickbars.session import configure
 
@@ -134,6 +134,19 @@ def op11(docs: DataFrame) -> DataFrame:
                                                  F.sha2(infilling.restored(), 256).alias("restored_sha256"))
 
 
+@_query("op13_periodic_runs", "documents")
+def op13(docs: DataFrame) -> DataFrame:
+    """Every tenth document is given a tail of its own words over and over before its runs are sought."""
+    found = runs.detect_runs(runs.with_repeated_tails(docs))
+    best = F.col("best")
+    listed = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(listed, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
