@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickbars.llm import fingerprints, infilling, langid, lines, mixing, packing, runs, secrets, simhash, tokens, topk, urlfilter
+from tickbars.llm import fingerprints, infilling, langid, lines, lm, mixing, packing, runs, secrets, simhash, tokens, topk, urlfilter
 from tickbars.llm.common import table
 from tickbars.session import configure
 
@@ -134,6 +134,11 @@ def op11(docs: DataFrame) -> DataFrame:
                                                  F.sha2(infilling.restored(), 256).alias("restored_sha256"))
 
 
+@_query("op12_lm_scores", "documents")
+def op12(docs: DataFrame) -> DataFrame:
+    return lm.score_documents(docs)
+
+
 @_query("op13_periodic_runs", "documents")
 def op13(docs: DataFrame) -> DataFrame:
     """Every tenth document is given a tail of its own words over and over before its runs are sought."""
