@@ -32,7 +32,7 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndar
     texts = pc.fill_null(texts.cast(pa.string()), "")
     if lower:
         texts = pc.ascii_lower(texts)
-    parts = pc.split_pattern_regex(texts, "[\\x20\\x09-\\x0D]+")
+    parts = pc.ascii_split_whitespace(texts)
     flat, borders = parts.flatten(), parts.offsets.to_numpy()
     borders = borders - borders[0]
     full = pc.not_equal(pc.binary_length(flat), 0)
