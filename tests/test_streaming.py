@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from tickbars.operators import bars as batch_bars
 from tickbars.operators import feed, gaps, quotes
+from tickbars.schemas import TRADE_BAR_COLS
 from tickbars.streaming import bars, feeds, scans, state
+from tickbars.streaming.partials import LiveBars
 
 T0 = datetime(2024, 1, 1, 10)
 SCHEMA = "Symbol STRING, TradeID BIGINT, Timestamp TIMESTAMP_NTZ, Price DOUBLE, Quantity DOUBLE, IsBuyerMaker BOOLEAN"
@@ -206,3 +208,101 @@ def test_bars_of_a_silent_symbol_reach_its_subscriber(spark, dirs):
     spec = feed.feed_spec("binance", "ohlcv_1m")
     finish(feeds.subscribe_foreach(completed, spec, "A", lambda df, b: got.extend(df.collect()), checkpoint))
     assert [(r.Symbol, r.Trades) for r in got] == [("A", 1)]
+
+
+def _events(spark, files, path):
+    """The smallest event table as trades, dealt by hash over so many files."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(
+        F.upper("event_type").alias("Symbol"), F.col("event_id").alias("TradeID"), F.col("ts").cast("timestamp_ntz").alias("Timestamp"),
+        F.col("value").alias("Price"), F.lit(1.0).alias("Quantity"), (F.col("event_id") % 2 == 0).alias("IsBuyerMaker"))
+    rows.repartition(files, F.xxhash64("TradeID")).write.parquet(path)
+    return spark.read.schema(SCHEMA).parquet(path)
+
+
+def _values(df):
+    return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(*TRADE_BAR_COLS).collect())
+
+
+@pytest.mark.parametrize("files", [1, 60, 257])
+def test_no_trade_is_lost_in_any_order_or_number_of_files(spark, dirs, files):
+    source, out, kept, checkpoint = dirs
+    rows = _events(spark, files, source)
+    table = LiveBars(kept, "1 minute", fold_every=2)
+    run = table.batch(5, on_changed=state.batch_writer(f"{out}/changed"), on_closed=state.batch_writer(f"{out}/closed"))
+    finish(state.start(bars.read_ticks(spark, source, SCHEMA), run, checkpoint))
+    fives = batch_bars.trade_bars(rows, 5)
+    assert _values(table.bars(spark)) == _values(batch_bars.trade_bars(rows))
+    assert _values(table.bars(spark, 5)) == _values(fives)
+    newest = rows.agg(F.max("Timestamp")).first()[0]
+    closed = fives.filter(F.col("Timestamp") + F.expr("INTERVAL '5' MINUTE") <= F.lit(newest - timedelta(minutes=1)).cast("timestamp_ntz"))
+    for name, want in (("changed", fives), ("closed", closed)):
+        seen = spark.read.parquet(f"{out}/{name}")
+        last = seen.groupBy("Symbol", "Timestamp").agg(F.max("batch_id").alias("batch_id"))
+        assert _values(seen.join(last, ["Symbol", "Timestamp", "batch_id"])) == _values(want)
+
+
+def test_late_trades_change_closed_bars_and_are_reported_again(spark, dirs):
+    source, out, kept, checkpoint = dirs
+    table = LiveBars(kept, "1 minute", fold_every=2)
+    for part in ([trade("A", 5, 10)], [trade("A", 9, 600)], [trade("B", 2, 5), trade("A", 3, 20)], [trade("A", 1, 0), trade("A", 10, 1200)]):
+        land(spark, source, part)
+        finish(state.start(stream(spark, source), table.batch(1, on_closed=state.batch_writer(out)), checkpoint))
+    got = [(r.batch_id, r.Symbol, int((r.Timestamp - T0).total_seconds() // 60), r.Open, r.Close, r.Trades) for r in spark.read.parquet(out).collect()]
+    assert sorted(got) == [(1, "A", 0, 5.0, 5.0, 1), (2, "A", 0, 5.0, 3.0, 2), (2, "B", 0, 2.0, 2.0, 1), (3, "A", 0, 1.0, 3.0, 3), (3, "A", 10, 9.0, 9.0, 1)]
+
+
+def test_batches_run_again_and_folds_leave_the_same_bars(spark, dirs):
+    _, out, kept, _ = dirs
+    rnd = random.Random(3)
+    rows = [trade(rnd.choice("AB"), i, rnd.randrange(4 * 86400)) for i in range(48)]
+    table, seen = LiveBars(kept, "0 seconds", fold_every=2), []
+    for k in range(6):
+        for _ in range(1 + k % 2):
+            table.batch(1, on_changed=state.batch_writer(f"{out}/changed"), on_closed=state.batch_writer(f"{out}/closed"))(
+                spark.createDataFrame(rows[k * 8:(k + 1) * 8], SCHEMA), k)
+        so_far = batch_bars.trade_bars(spark.createDataFrame(rows[:(k + 1) * 8], SCHEMA))
+        assert _values(table.bars(spark)) == _values(so_far)
+        seen.append(spark.read.parquet(f"{out}/changed").filter(F.col("batch_id") == k).filter("first_batch = last_batch").count())
+    assert sum(seen) == batch_bars.trade_bars(spark.createDataFrame(rows, SCHEMA)).count()  # each bar is added once
+    left = [r.path for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{kept}/deltas").select("path").collect()]
+    assert {int(p.split("batch_id=")[1].split("/")[0]) for p in left} == {2, 3, 4, 5}  # older ones are folded and gone
+
+
+def test_clock_rows_close_bars_of_the_table(spark, dirs):
+    source, out, kept, checkpoint = dirs
+    land(spark, source, [trade("A", 1, 0), trade("B", 2, 3)])
+    land(spark, f"{source}-beats", [(T0 + timedelta(minutes=9),)], "Timestamp TIMESTAMP_NTZ")
+    ticks = bars.with_heartbeats(stream(spark, source), bars.read_ticks(spark, f"{source}-beats", "Timestamp TIMESTAMP_NTZ"))
+    table = LiveBars(kept)
+    finish(state.start(ticks, table.batch(1, on_closed=state.batch_writer(out)), checkpoint))
+    assert sorted((r.Symbol, r.Trades) for r in spark.read.parquet(out).collect()) == [("A", 1), ("B", 1)]
+    assert sorted(r.Symbol for r in table.bars(spark).collect()) == ["A", "B"]
+
+
+def test_a_failed_snapshot_is_attached_again(spark, dirs):
+    source, _, kept, checkpoint = dirs
+    rows = [trade("A", i, i * 30) for i in range(20)]
+    land(spark, source, rows[:10])
+    spec, seen, fails = feed.feed_spec("binance", "ohlcv_1m"), [], [True]
+
+    def emit(df, batch_id):
+        if batch_id == -1 and fails:
+            fails.clear()
+            raise RuntimeError("down")
+        seen.extend((r.phase, r.Timestamp and int((r.Timestamp - T0).total_seconds() // 60)) for r in df.collect())
+
+    def attach():
+        snapshot = batch_bars.trade_bars(spark.createDataFrame(rows[:10], SCHEMA))
+        table = LiveBars(kept, "0 seconds")
+        finish(feeds.attach_gapless(snapshot, stream(spark, source), spec, emit, checkpoint, include_open_bar=False,
+                                    through=lambda f: table.batch(1, on_closed=f)))
+
+    with pytest.raises(RuntimeError):
+        attach()
+    assert seen == []
+    attach()
+    land(spark, source, rows[10:])
+    attach()
+    assert [m for phase, m in seen if phase == "snapshot"] == [0, 1, 2, 3]
+    assert [phase for phase, _ in seen].count("snapshot_boundary") == 1
+    assert sorted(m for phase, m in seen if phase == "live") == [4, 5, 6, 7, 8]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickbars.functions import epoch_us, ntz
-from tickbars.operators import bars, feed, incremental, stitch
+from tickbars.operators import bars, feed, stitch
 from tickbars.operators.filters import filter_time_range
 from tickbars.operators.latest import latest_by_key
 from tickbars.plans.bars import ORACLE_STITCHED_5M
@@ -16,15 +16,16 @@ from tickbars.plans.registry import Tables, query, rounded
 from tickbars.session import shared_dir
 from tickbars.streaming import bars as live
 from tickbars.streaming import feeds, scans, state
+from tickbars.streaming.partials import LiveBars
 
 DELAY = "1 minute"
 _BAR = "Timestamp, Symbol, BarId, Open, High, Low, Close, Volume, Trades, round(Vwap, 6) AS Vwap, BuyerMakerCount"
-_CLOSED = "Timestamp + INTERVAL '{n}' MINUTE <= (SELECT date_trunc('millisecond', max(Timestamp)) - INTERVAL '1' MINUTE FROM trades)"
+_CLOSED = "Timestamp + INTERVAL '{n}' MINUTE <= (SELECT max(Timestamp) - INTERVAL '1' MINUTE FROM trades)"
 
 
-def trade_stream(t: Tables) -> DataFrame:
-    """The events table as a stream of trades."""
-    events = live.read_ticks(t.spark, t.stream_path("events"), t.table("events").schema)
+def trade_stream(t: Tables, path: str | None = None, max_files: int = live.MAX_FILES) -> DataFrame:
+    """The events table as a stream of trades, or what was landed of it in another folder."""
+    events = live.read_ticks(t.spark, path or t.stream_path("events"), t.table("events").schema, max_files)
     return events.select(
         F.upper("event_type").alias("Symbol"), F.col("event_id").alias("TradeID"), F.col("value").alias("Price"),
         F.regexp_extract("props", "[0-9]+", 0).cast("double").alias("Quantity"), F.col("user_id").alias("BuyerID"),
@@ -42,34 +43,42 @@ def _to_files(t: Tables, stream: DataFrame) -> DataFrame:
     return t.spark.read.schema(stream.schema).parquet(f"{out}/data")
 
 
+def _live_bars(t: Tables, trades: DataFrame, period: int = 1) -> DataFrame:
+    """Closed bars as a subscriber ends up with them: of each the newest report."""
+    out = shared_dir(t.spark, "stream")
+    table = LiveBars(f"{out}/bars", DELAY)
+    _finished([state.start(trades, table.batch(period, on_closed=state.batch_writer(f"{out}/closed")), f"{out}/checkpoint")])
+    return rounded(latest_by_key(t.spark.read.parquet(f"{out}/closed"), ["Symbol", "Timestamp"], "batch_id").drop("batch_id"), "Vwap")
+
+
 @query("stream_completed_bars", "bars_1m trades", f"SELECT {_BAR} FROM bars_1m WHERE {_CLOSED.format(n=1)}")
 def stream_completed_bars(t: Tables) -> DataFrame:
-    return rounded(_to_files(t, live.stream_bars(trade_stream(t), 1, DELAY)), "Vwap")
+    return _live_bars(t, trade_stream(t))
 
 
 @query("live_rollup", "bars_5m trades", f"SELECT {_BAR} FROM bars_5m WHERE {_CLOSED.format(n=5)}")
 def live_rollup(t: Tables) -> DataFrame:
-    return rounded(_to_files(t, live.stream_rollup(trade_stream(t), 5, DELAY)), "Vwap")
+    return _live_bars(t, trade_stream(t), 5)
 
 
 @query("stream_open_bars", "bars_1m", f"SELECT {_BAR} FROM bars_1m")
 def stream_open_bars(t: Tables) -> DataFrame:
     """Every change of every bar; shown as the last change of each."""
     out = shared_dir(t.spark, "stream")
-    stream = live.stream_bars(trade_stream(t), 1, DELAY)
-    _finished([state.start(stream, state.batch_writer(f"{out}/data"), f"{out}/checkpoint", "update")])
-    changes = t.spark.read.parquet(f"{out}/data")
+    table = LiveBars(f"{out}/bars", DELAY)
+    _finished([state.start(trade_stream(t), table.batch(1, on_changed=state.batch_writer(f"{out}/data")), f"{out}/checkpoint")])
+    changes = t.spark.read.parquet(f"{out}/data").drop("first_batch", "last_batch")
     return rounded(latest_by_key(changes, ["Symbol", "Timestamp"], "batch_id").drop("batch_id"), "Vwap")
 
 
 @query("forced_completion", "bars_1m", f"SELECT {_BAR} FROM bars_1m")
 def forced_completion(t: Tables) -> DataFrame:
-    """All bars close: clock rows after the last trade move the watermark past the last bar."""
+    """All bars close: clock rows after the last trade stand for the time that passes without one."""
     beats_dir = shared_dir(t.spark, "beats")
     last = t.table("events").agg(F.max("ts").alias("Timestamp"))
     last.select((F.col("Timestamp") + F.expr("INTERVAL '5' MINUTE")).cast("timestamp").alias("Timestamp")).write.parquet(beats_dir)
     beats = live.read_ticks(t.spark, beats_dir, "Timestamp TIMESTAMP")
-    return rounded(_to_files(t, live.closed_by_clock(trade_stream(t), beats, 1, DELAY)), "Vwap")
+    return _live_bars(t, live.with_heartbeats(trade_stream(t), beats))
 
 
 def _in_thirds(t: Tables, rows: DataFrame, time_col: str, path: str) -> None:
@@ -123,42 +132,62 @@ def stream_stitched_5m(t: Tables) -> DataFrame:
     return bars.rollup_unified_bars(_live_stitched(t), 5)
 
 
-@query("late_rows", "bars_1m", f"SELECT {_BAR} FROM bars_1m")
-def late_rows(t: Tables) -> DataFrame:
-    """A tenth of the trades comes after all others: closed bars, then the correction by what was late."""
-    out = shared_dir(t.spark, "late")
-    rows = t.view("trades").select("Symbol", "TradeID", "Price", "Quantity", "BuyerID", "Timestamp", "IsBuyerMaker")
-    for which in ("TradeID % 10 <> 0", "TradeID % 10 = 0"):
-        rows.filter(which).coalesce(1).write.mode("append").parquet(f"{out}/trades")
-    end = rows.agg((F.max("Timestamp") + F.expr("INTERVAL '5' MINUTE")).cast("timestamp").alias("Timestamp"))
-    end.write.parquet(f"{out}/beats")
-
-    def stream() -> DataFrame:
-        return live.read_ticks(t.spark, f"{out}/trades", rows.schema, max_files=1)
+def _in_batches(t: Tables, parts: list[str], batch: state.BatchFn, checkpoint: str) -> None:
+    """Feed the events to a stream in so many micro-batches: those for which each condition holds, one after another.
 
-    beats = live.read_ticks(t.spark, f"{out}/beats", "Timestamp TIMESTAMP")
-    closed = _to_files(t, live.closed_by_clock(stream(), beats, 1, DELAY))
-    _finished([state.start(stream(), live.late_rows(f"{out}/late", f"{out}/newest", DELAY), f"{out}/checkpoint")])
-    late = t.spark.read.parquet(f"{out}/late").withColumn("Timestamp", F.col("Timestamp").cast("timestamp_ntz"))
-    return rounded(incremental.reaggregate_late(closed, t.spark.read.parquet(f"{out}/trades"), late), "Vwap")
+    The stream is started anew for each, and takes all files it finds at once.
+    """
+    path = shared_dir(t.spark, "landed")
+    for part in parts:
+        t.table("events").filter(part).write.mode("append").parquet(path)
+        _finished([state.start(trade_stream(t, path, max_files=1 << 30), batch, checkpoint)])
 
 
-@query("bar_change_feed", "bars_1m", f"""
-SELECT 'added' AS part, {_BAR} FROM bars_1m
-UNION ALL SELECT 'completed', {_BAR} FROM (SELECT *, lead(Timestamp) OVER (PARTITION BY Symbol ORDER BY Timestamp) AS later FROM bars_1m) WHERE later IS NOT NULL""")
-def bar_change_feed(t: Tables) -> DataFrame:
-    return rounded(_change_feed(t).drop("batch_id"), "Vwap")
+@query("late_rows", "bars_1m", f"SELECT {_BAR} FROM bars_1m")
+def late_rows(t: Tables) -> DataFrame:
+    """A tenth of the trades comes after all others, and the bars they belong to take them in."""
+    out = shared_dir(t.spark, "late")
+    table = LiveBars(f"{out}/bars", DELAY, fold_every=2)
+    parts = ["event_id % 10 <> 0 AND event_id % 3 = 0", "event_id % 10 <> 0 AND event_id % 3 <> 0", "event_id % 20 = 0", "event_id % 20 = 10"]
+    _in_batches(t, parts, table.batch(), f"{out}/checkpoint")
+    return rounded(table.bars(t.spark), "Vwap")
+
+
+_CHANGES = """
+, batches AS (SELECT unnest([0, 1, 2]) AS batch),
+so_far AS (
+  SELECT b.batch, Symbol, date_trunc('minute', Timestamp) AS Timestamp, arg_min(Price, (Timestamp, TradeID)) AS Open, max(Price) AS High, min(Price) AS Low,
+         arg_max(Price, (Timestamp, TradeID)) AS Close, sum(Quantity) AS Volume, count(*) AS Trades, CAST(sum(CAST(IsBuyerMaker AS INT)) AS BIGINT) AS BuyerMakerCount,
+         sum(Price * Quantity) AS pq, min(TradeID % 3) AS first_batch, max(TradeID % 3) AS last_batch
+  FROM trades t JOIN batches b ON t.TradeID % 3 <= b.batch GROUP BY b.batch, Symbol, date_trunc('minute', Timestamp)),
+shown AS (SELECT *, max(Timestamp) OVER (PARTITION BY batch, Symbol) AS newest, CAST(hour(Timestamp) * 60 + minute(Timestamp) AS BIGINT) AS BarId,
+                 CASE WHEN Volume <> 0 THEN pq / Volume END AS Vwap FROM so_far),
+done AS (SELECT *, row_number() OVER (PARTITION BY Symbol, Timestamp ORDER BY batch) AS rn FROM shown WHERE Timestamp < newest),
+changes AS (
+  SELECT *, CASE WHEN first_batch = batch THEN 'added' ELSE 'updated' END AS part FROM shown WHERE last_batch = batch
+  UNION ALL SELECT * EXCLUDE (rn), 'completed' AS part FROM done WHERE rn = 1)
+"""
 
 
 def _change_feed(t: Tables) -> DataFrame:
+    """The events in three micro-batches, each over the whole time, so that later ones change bars of earlier ones."""
     out = shared_dir(t.spark, "stream")
-    _finished([state.start(live.stream_changed_bars(trade_stream(t), 1, DELAY), feeds.bar_changes(f"{out}/data", f"{out}/state"), f"{out}/checkpoint", "update")])
+    table = LiveBars(f"{out}/bars", DELAY, fold_every=2)
+    _in_batches(t, [f"event_id % 3 = {k}" for k in range(3)], table.batch(1, on_changed=feeds.bar_changes(f"{out}/data", f"{out}/state")), f"{out}/checkpoint")
     return t.spark.read.parquet(f"{out}/data")
 
 
-@query("feed_stats", "bars_1m", """
-SELECT 'binance' AS provider, 'ohlcv_1m' AS schema, Symbol AS symbol, count(*) AS last_added_rows, CAST(0 AS BIGINT) AS last_updated_rows, count(*) - 1 AS last_completed_rows,
-       count(*) AS total_added_rows, CAST(0 AS BIGINT) AS total_updated_rows, count(*) - 1 AS total_completed_rows FROM bars_1m GROUP BY Symbol""")
+@query("bar_change_feed", "trades", f"{_CHANGES} SELECT batch AS batch_id, part, {_BAR} FROM changes")
+def bar_change_feed(t: Tables) -> DataFrame:
+    return rounded(_change_feed(t), "Vwap")
+
+
+@query("feed_stats", "trades", f"""{_CHANGES},
+counted AS (SELECT Symbol, batch, count(*) FILTER (WHERE part = 'added') AS added, count(*) FILTER (WHERE part = 'updated') AS updated,
+                   count(*) FILTER (WHERE part = 'completed') AS completed FROM changes GROUP BY Symbol, batch)
+SELECT 'binance' AS provider, 'ohlcv_1m' AS schema, Symbol AS symbol, arg_max(added, batch) AS last_added_rows, arg_max(updated, batch) AS last_updated_rows,
+       arg_max(completed, batch) AS last_completed_rows, CAST(sum(added) AS BIGINT) AS total_added_rows, CAST(sum(updated) AS BIGINT) AS total_updated_rows,
+       CAST(sum(completed) AS BIGINT) AS total_completed_rows FROM counted GROUP BY Symbol""")
 def feed_stats(t: Tables) -> DataFrame:
     changes = _change_feed(t).select(F.lit("binance").alias("provider"), F.lit("ohlcv_1m").alias("schema"), F.col("Symbol").alias("symbol"), "part", "batch_id")
     return feed.feed_stats(changes)
@@ -190,10 +219,10 @@ def stream_quote_state(t: Tables) -> DataFrame:
 SELECT Timestamp, Symbol, Close FROM bars_1m WHERE Symbol = 'CLICK' AND {_CLOSED.format(n=1)}""")
 def subscribe_foreach(t: Tables) -> DataFrame:
     out = shared_dir(t.spark, "stream")
-    completed = live.stream_bars(trade_stream(t), 1, DELAY)
-    spec = feed.feed_spec("binance", "ohlcv_1m")
-    _finished([feeds.subscribe_foreach(completed, spec, "CLICK", state.batch_writer(f"{out}/data"), f"{out}/checkpoint", fields=["timestamp", "symbol", "close"])])
-    return t.spark.read.parquet(f"{out}/data").drop("batch_id")
+    table, spec = LiveBars(f"{out}/bars", DELAY), feed.feed_spec("binance", "ohlcv_1m")
+    _finished([feeds.subscribe_foreach(trade_stream(t), spec, "CLICK", state.batch_writer(f"{out}/data"), f"{out}/checkpoint",
+                                       fields=["timestamp", "symbol", "close"], through=lambda bars_to: table.batch(1, on_closed=bars_to))])
+    return latest_by_key(t.spark.read.parquet(f"{out}/data"), ["Symbol", "Timestamp"], "batch_id").drop("batch_id")
 
 
 @query("independent_consumers", "trades", """
@@ -216,11 +245,13 @@ def attach_gapless(t: Tables) -> DataFrame:
     out = shared_dir(t.spark, "stream")
     cols = ["phase", "part", "Symbol", "Timestamp", "Close", "Volume", "watermark_ns"]
     snapshot = bars.trade_bars(filter_time_range(t.view("trades"), "Timestamp", DAY_NS, ATTACH_NS - 1000))
-    completed = live.stream_bars(trade_stream(t).filter(F.col("Timestamp") >= F.timestamp_micros(F.lit(DAY_NS // 1000))), 1, DELAY)
+    today = trade_stream(t).filter(F.col("Timestamp") >= F.timestamp_micros(F.lit(DAY_NS // 1000)))
+    table = LiveBars(f"{out}/bars", DELAY)
 
     def emit(rows: DataFrame, batch_id: int) -> None:
         known = rows if "watermark_ns" in rows.columns else rows.withColumn("watermark_ns", F.lit(None).cast("bigint"))
         known.select(*cols).write.mode("overwrite").parquet(f"{out}/data/batch_id={batch_id}")
 
-    _finished([feeds.attach_gapless(snapshot, completed, feed.feed_spec("binance", "ohlcv_1m"), emit, f"{out}/checkpoint", include_open_bar=False)])
-    return t.spark.read.parquet(f"{out}/data").select(*cols)
+    _finished([feeds.attach_gapless(snapshot, today, feed.feed_spec("binance", "ohlcv_1m"), emit, f"{out}/checkpoint", include_open_bar=False,
+                                    through=lambda bars_to: table.batch(1, on_closed=bars_to))])
+    return latest_by_key(t.spark.read.parquet(f"{out}/data"), ["phase", "Symbol", "Timestamp"], "batch_id").select(*cols)

@@ -53,6 +53,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def touch(spark: SparkSession, path: str) -> None:
+    """Leave an empty file as a mark."""
+    fs, target = _located(spark, path)
+    fs.create(target, True).close()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder this package wrote."""
     fs, target = _located(spark, path)

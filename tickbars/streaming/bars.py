@@ -1,4 +1,8 @@
-"""Live bars: closed bars, open bars, roll-ups, closing by heartbeat."""
+"""Live bars in the engine's own window state: closed bars, open bars, roll-ups, closing by heartbeat.
+
+State is bounded by the watermark, and so is patience: trades further behind the newest than ``delay`` are dropped. For
+feeds that are to take trades however late, or in any order, see ``partials.LiveBars``.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +11,6 @@ from pyspark.sql import functions as F
 
 from tickbars.functions import vwap
 from tickbars.operators.bars import finish_bars, finish_quote_bars, quote_aggregates, rollup_aggregates, trade_aggregates
-from tickbars.streaming.state import BatchFn, Versions
-
 
 MAX_FILES = 64
 
@@ -68,25 +70,6 @@ def stream_quote_bars(quotes: DataFrame, period_minutes: int = 1, delay: str = "
     return finish_quote_bars(bars.withColumn("Timestamp", F.col("w.start").cast("timestamp_ntz")), period_minutes)
 
 
-def late_rows(out: str, state: str, delay: str = "1 minute") -> BatchFn:
-    """A ``foreachBatch`` function over the raw trades that keeps those a watermark of ``delay`` may have dropped.
-
-    A row is late if it is more than the delay behind the newest of the batches before its own. Late rows go to a
-    table, a folder per batch, for ``reaggregate_late`` to correct the bars they belong to.
-    """
-    newest = Versions(state)
-
-    def run(trades: DataFrame, batch_id: int) -> None:
-        spark = trades.sparkSession
-        before = newest.before(spark, batch_id)
-        seen = before.first()[0] if before is not None else None
-        late = trades.limit(0) if seen is None else trades.filter(F.col("Timestamp") < F.lit(seen) - F.expr(f"INTERVAL {delay}"))
-        late.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-        now = trades.agg(F.max("Timestamp").alias("seen"))
-        newest.write(now if before is None else now.unionByName(before).agg(F.max("seen").alias("seen")), batch_id)
-    return run
-
-
 def with_heartbeats(trades: DataFrame, beats: DataFrame, time_col: str = "Timestamp") -> DataFrame:
     """Trades joined by clock rows that carry nothing but a time.
 

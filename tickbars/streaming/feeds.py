@@ -12,11 +12,15 @@ from tickbars.functions import instant_to_ns
 from tickbars.operators.feed import FeedSpec, gapless_feed, gapless_watermark
 from tickbars.operators.filters import filter_exchange, filter_symbol, project_fields
 from tickbars.operators.latest import best_per_key
-from tickbars.session import exists
+from tickbars.session import exists, touch
 from tickbars.streaming.state import BatchFn, Versions, start
 
+#: Makes a batch function of ticks out of one of bars.
+Through = Callable[[BatchFn], BatchFn]
+
+
 def bar_changes(out: str, state: str) -> BatchFn:
-    """A ``foreachBatch`` function over ``stream_changed_bars`` (update mode) that labels bar rows.
+    """A function over changed bars, of ``LiveBars.batch`` or ``stream_changed_bars`` (update mode), that labels bar rows.
 
     A bar is added in the first batch that holds trades of it and updated in later ones. It is
     completed, once, when a newer bar of its symbol exists; one that arrives behind the newest is
@@ -50,16 +54,18 @@ def bar_changes(out: str, state: str) -> BatchFn:
 
 
 def subscribe_foreach(stream: DataFrame, spec: FeedSpec, symbol: str, callback: BatchFn, checkpoint: str, *, fields: Iterable[str] | None = None,
-                      exchange: str | None = None, trigger: dict | None = None) -> StreamingQuery:
+                      exchange: str | None = None, trigger: dict | None = None, through: Through | None = None) -> StreamingQuery:
     """Deliver the rows of one symbol of a feed to a callback, batch by batch.
 
-    Pass completed bars (``stream_bars``, or ``closed_by_clock``) for completed ones only, or a change feed.
-    The symbol is picked out of each batch of the feed, behind its watermark: bars of a silent symbol close
-    with the progress of the others, or of the clock. The returned query is the subscription; ``stop()`` ends it.
+    Pass trades and, as ``through``, a function that makes a batch function of trades out of one of bars, such as
+    ``lambda f: LiveBars(path).batch(1, on_closed=f)``. Or pass completed bars (``stream_bars``, ``closed_by_clock``), or a
+    change feed. The symbol is picked out of each batch of the feed: bars of a silent symbol close with the
+    progress of the others, or of the clock. The returned query is the subscription; ``stop()`` ends it.
     """
     if not isinstance(symbol, str):
         raise ValueError("only one symbol per subscription")
-    if project_fields(stream, fields) is None:
+    shown = stream if through is None else stream.sparkSession.createDataFrame([], ", ".join(f"{c} STRING" for c in spec.cols))
+    if project_fields(shown, fields) is None:
         raise ValueError("no requested field exists in this feed")
 
     def deliver(rows: DataFrame, batch_id: int) -> None:
@@ -67,28 +73,33 @@ def subscribe_foreach(stream: DataFrame, spec: FeedSpec, symbol: str, callback:
         if "Exchange" in spec.cols:
             own = filter_exchange(own, exchange)
         callback(project_fields(own, fields), batch_id)
-    return start(stream, deliver, checkpoint, trigger=trigger)
+    return start(stream, through(deliver) if through else deliver, checkpoint, trigger=trigger)
 
 
 def attach_gapless(snapshot: DataFrame, live: DataFrame, spec: FeedSpec, emit: BatchFn, checkpoint: str, *,
-                   include_open_bar: bool = True, trigger: dict | None = None) -> StreamingQuery:
+                   include_open_bar: bool = True, trigger: dict | None = None, through: Through | None = None) -> StreamingQuery:
     """Emit a snapshot and its boundary, then the stream's rows after the watermark.
 
-    ``live`` streams the same feed, from at least the watermark on. The snapshot goes out as batch
-    -1. Watermarks are kept beside the checkpoint: both sides use the same ones, and a restart goes on
-    from them with live rows.
+    ``live`` streams the same feed, from at least the watermark on; with ``through`` it streams the trades its bars are made
+    of, see ``subscribe_foreach``. The snapshot goes out as batch -1. It is attached once ``emit`` has returned from it: only
+    then a mark is left beside the checkpoint, and the live rows begin. After a failure before that the snapshot and its
+    watermarks are made and sent again; later on, a restart goes on from the kept watermarks with live rows.
     """
-    keys, spark, kept = list(spec.keys), snapshot.sparkSession, f"{checkpoint}-watermarks"
-    attached = exists(spark, f"{kept}/_SUCCESS")
-    if not attached:
-        gapless_watermark(snapshot, keys, spec.time_col, bars=bool(spec.bin_minutes)).write.mode("overwrite").parquet(kept)
-    marks = spark.read.parquet(kept)
-    if not attached:
-        emit(gapless_feed(snapshot, snapshot.limit(0), marks, keys, spec.time_col, include_open_bar=include_open_bar), -1)
-    later = live.join(marks.withColumnRenamed("watermark_ns", "_mark"), keys, "left") \
-        .filter(F.col("_mark").isNull() | (instant_to_ns(F.col(spec.time_col)) > F.col("_mark"))).drop("_mark") \
-        .withColumns({"phase": F.lit("live"), "part": F.lit("completed")})
-    return start(later, emit, checkpoint, trigger=trigger)
+    keys, spark, kept = list(spec.keys), snapshot.sparkSession, f"{checkpoint}-attached"
+    marks_path, sent = f"{kept}/watermarks", f"{kept}/sent"
+    if not exists(spark, sent):
+        gapless_watermark(snapshot, keys, spec.time_col, bars=bool(spec.bin_minutes)).write.mode("overwrite").parquet(marks_path)
+        emit(gapless_feed(snapshot, snapshot.limit(0), spark.read.parquet(marks_path), keys, spec.time_col, include_open_bar=include_open_bar), -1)
+        touch(spark, sent)
+    marks = spark.read.parquet(marks_path).withColumnRenamed("watermark_ns", "_mark")
+
+    def after_marks(rows: DataFrame) -> DataFrame:
+        later = rows.join(marks, keys, "left").filter(F.col("_mark").isNull() | (instant_to_ns(F.col(spec.time_col)) > F.col("_mark")))
+        return later.drop("_mark").withColumns({"phase": F.lit("live"), "part": F.lit("completed")})
+
+    if through is None:
+        return start(after_marks(live), emit, checkpoint, trigger=trigger)
+    return start(live, through(lambda rows, batch_id: emit(after_marks(rows), batch_id)), checkpoint, trigger=trigger)
 
 
 def independent_consumers(source: Callable[[], DataFrame], consumers: Mapping[str, BatchFn], checkpoints: str,

@@ -42,7 +42,10 @@ class Versions:
         self.path = path
 
     def before(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
-        return spark.read.parquet(f"{self.path}/v={batch_id - 1}") if batch_id > 0 else None
+        return self.at(spark, batch_id - 1) if batch_id > 0 else None
+
+    def at(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/v={batch_id}")
 
     def write(self, state: DataFrame, batch_id: int) -> None:
         state.write.mode("overwrite").parquet(f"{self.path}/v={batch_id}")
