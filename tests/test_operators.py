@@ -148,6 +148,20 @@ def test_tasks_and_refill(spark):
     assert gaps.rows_in_tasks(rows, tasks, bucket=7).count() == 3
 
 
+def test_coverage_by_masks_equals_counting(spark):
+    rnd = random.Random(11)
+    spans = [("A", -130, -65), ("A", -64, -1), ("A", 0, 63), ("A", 64, 64), ("A", 127, 128), ("A", 100, 700), ("B", 0, 1), (None, 0, 9)]
+    tasks = spark.createDataFrame([(f"t{i}", *x) for i, x in enumerate(spans)], "task_id STRING, symbol STRING, start_id BIGINT, end_id BIGINT")
+    ids = [(rnd.choice(["A", "A", "A", "B", None]), rnd.randrange(-140, 720)) for _ in range(900)] + [("A", None), ("A", -130), ("A", 63), ("A", 64), ("A", 128)]
+    rows = spark.createDataFrame(ids + ids[:100], "symbol STRING, seq BIGINT")
+    want = {f"t{i}": len({q for k, q in ids if k == s and s is not None and q is not None and a <= q <= b}) for i, (s, a, b) in enumerate(spans)}
+    assert {r.task_id: r.rows for r in gaps.fill_gap_rows(rows, tasks).collect()} == want
+    assert {r.task_id: r.rows for r in gaps.fill_gap_rows(None, tasks, masks=gaps.id_masks(rows)).collect()} == want
+    assert {r.task_id: r.rows for r in gaps.fill_gap_rows(rows.limit(0), tasks).collect()} == dict.fromkeys(want, 0)
+    found = {r.task_id: r["count"] for r in gaps.rows_in_tasks(rows, tasks, bucket=50).groupBy("task_id").count().collect()}
+    assert found == {k: n for k, n in want.items() if n}
+
+
 def test_one_long_gap_is_cut_in_blocks(spark):
     g = spark.createDataFrame([("A", 1, 250_000)], "symbol STRING, start_id BIGINT, end_id BIGINT")
     tasks = gaps.plan_backfill_tasks(g, 10)

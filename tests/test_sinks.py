@@ -4,6 +4,7 @@ import json
 import random
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from tickbars.operators import eventlog, latest
@@ -121,3 +122,34 @@ def test_repeated_writes_replace_their_rows(spark, tmp_path):
         tables.write_ticks(ticks(spark), str(tmp_path / "t"), write_id=write_id)
         eventlog.append_events(tables.unrouted(ticks(spark)), str(tmp_path / "e"), write_id=write_id)
     assert spark.read.parquet(str(tmp_path / "t")).count() == 12 and spark.read.parquet(str(tmp_path / "e")).count() == 2
+
+
+def test_nothing_is_pruned_that_a_consumer_has_not_read(spark, tmp_path):
+    root, cursors = str(tmp_path / "journal"), str(tmp_path / "cursors")
+    tables.write_journal(spark.createDataFrame([(b, b * 10 + i) for b in range(8) for i in range(2)], "batch_id INT, seq BIGINT"), root)
+    seen = {"fast": [], "slow": []}
+
+    def read(consumer, low, high, batch_id, fails=False):
+        def handle(rows, _):
+            if fails:
+                raise RuntimeError("down")
+            seen[consumer].extend(r.seq for r in rows.collect())
+        tables.cursor_writer(handle, consumer, cursors)(spark.read.parquet(root).filter(F.col("batch_id").between(low, high)), batch_id)
+
+    def left():
+        return sorted(r.batch_id for r in spark.read.parquet(root).select("batch_id").distinct().collect())
+
+    def prune(safety=1):
+        return tables.prune_by_cursors(spark, root, spark.read.parquet(cursors), ["fast", "slow"], safety)
+
+    read("fast", 0, 6, 0)
+    assert prune() == 0 and left() == list(range(8))  # one consumer has no cursor yet
+    read("slow", 0, 1, 0)
+    with pytest.raises(RuntimeError):
+        read("slow", 2, 5, 1, fails=True)  # not handled: the cursor stays
+    assert prune() == 2 and left() == [1, 2, 3, 4, 5, 6, 7]
+    for _ in range(2):
+        read("slow", 2, 5, 1)
+    read("slow", 9, 9, 2)  # an empty batch moves nothing
+    assert prune() == 8 and left() == [5, 6, 7]
+    assert set(seen["slow"]) == {b * 10 + i for b in range(6) for i in range(2)}

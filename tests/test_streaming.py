@@ -10,7 +10,9 @@ from tickbars.operators import bars as batch_bars
 from tickbars.operators import feed, gaps, quotes
 from tickbars.schemas import TRADE_BAR_COLS
 from tickbars.streaming import bars, feeds, scans, state
+from tickbars.streaming import messages
 from tickbars.streaming.partials import LiveBars
+from tickbars.streaming.stats import FeedMonitor
 
 T0 = datetime(2024, 1, 1, 10)
 SCHEMA = "Symbol STRING, TradeID BIGINT, Timestamp TIMESTAMP_NTZ, Price DOUBLE, Quantity DOUBLE, IsBuyerMaker BOOLEAN"
@@ -306,3 +308,32 @@ def test_a_failed_snapshot_is_attached_again(spark, dirs):
     assert [m for phase, m in seen if phase == "snapshot"] == [0, 1, 2, 3]
     assert [phase for phase, _ in seen].count("snapshot_boundary") == 1
     assert sorted(m for phase, m in seen if phase == "live") == [4, 5, 6, 7, 8]
+
+
+def test_messages_as_a_stream(spark, dirs):
+    source, out, _, checkpoint = dirs
+    good = '{"e":"trade","s":"A","t":%d,"p":"1.5","q":"2","T":%d,"b":1,"m":true}'
+    steps = [[good % (1, 1000), "", "{", good % (2, 2000)], ['{"stream":"a@trade","data":%s}' % (good % (3, 3000)), '{"t":4,"T":1}', '{"s":"A","T":1}', '{"s":"A","t":5}', "no"]]
+    for lines in steps:
+        spark.createDataFrame([(x,) for x in lines], "value STRING").coalesce(1).write.mode("append").text(source)
+        finish(state.start(messages.parsed(messages.read_messages(spark, source)), messages.message_writer(out), checkpoint))
+    ticks = messages.accepted(spark, out)
+    assert sorted((r.seq, r.ts_ns, r.payload.Price, r.batch_id) for r in ticks.collect()) == [(1, 10**9, 1.5, 0), (2, 2 * 10**9, 1.5, 0), (3, 3 * 10**9, 1.5, 1)]
+    bad = sorted((r.batch_id, r.value, r.reason) for r in messages.rejected(spark, out).collect())
+    assert bad == sorted([(0, "", "not JSON"), (0, "{", "not JSON"), (1, '{"t":4,"T":1}', "no symbol"), (1, '{"s":"A","T":1}', "no id"), (1, '{"s":"A","t":5}', "no time"), (1, "no", "not JSON")])
+
+
+def test_monitor_keeps_what_subscriptions_report(spark, dirs):
+    source, out, _, checkpoint = dirs
+    schema = "Symbol STRING, part STRING"
+    for rows in ([("A", "added"), ("B", "added"), ("A", "added")], [("A", "updated"), ("A", "completed"), ("B", "updated")], [("A", "added")]):
+        land(spark, source, rows, schema)
+    monitor, got = FeedMonitor(spark, f"{out}/stats"), []
+    running = [monitor.subscribe(stream(spark, source, schema), "p", "s", x, lambda df, b: got.extend(r.part for r in df.collect()), f"{checkpoint}/{x}") for x in "AB"]
+    for q in running:
+        finish(q)
+    monitor.close(running)
+    keys = [f"{k}_{p}_rows" for k in ("last", "total") for p in ("added", "updated", "completed")]
+    assert {r.symbol: [r[k] for k in keys] + [r.subscriber_count, r.total_handles] for r in monitor.latest().collect()} == {
+        "A": [1, 0, 0, 3, 1, 1, 1, 2], "B": [0, 0, 0, 1, 1, 0, 1, 2]}
+    assert monitor.history().count() == 6 and len(got) == 7

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,10 +71,16 @@ def pruned_count(batches: DataFrame, last_committed: int, safety: int = PRUNE_SA
     return batches.filter(F.lit(cutoff > 0) & (F.col("batch_id") <= cutoff)).agg(F.count(F.lit(1)).alias("deleted"))
 
 
+def set_watermarks(positions: DataFrame, path: str, seq: int) -> None:
+    """Move named cursors (columns scope, last_offset), all in one job: one more row of the history of each, in a folder
+    of its own so that a retry replaces it."""
+    positions.select("scope", F.col("last_offset").cast("bigint").alias("last_offset"), F.lit(seq).cast("bigint").alias("seqcol")) \
+        .repartition("scope").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scope", "seqcol").parquet(path)
+
+
 def set_watermark(spark: SparkSession, path: str, scope: str, last_offset: int, seq: int) -> None:
-    """Move a named cursor: one more row of its history, in a folder of its own so that a retry replaces it."""
-    row = spark.createDataFrame([(scope, last_offset, seq)], "scope STRING, last_offset BIGINT, seqcol BIGINT")
-    row.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scope", "seqcol").parquet(path)
+    """Move one named cursor."""
+    set_watermarks(spark.createDataFrame([(scope, last_offset)], "scope STRING, last_offset BIGINT"), path, seq)
 
 
 def named_watermarks(history: DataFrame, seq: str = "seqcol") -> DataFrame:
@@ -84,3 +92,10 @@ def watermark_of(history: DataFrame, scope: str, seq: str = "seqcol") -> DataFra
     """Value of one cursor, 0 if it was never written."""
     return history.filter(F.col("scope") == scope) \
         .agg(F.coalesce(F.max_by("last_offset", seq), F.lit(0)).alias("last_offset"))
+
+
+def slowest_cursor(history: DataFrame, consumers: Sequence[str], seq: str = "seqcol") -> int:
+    """How far all of the named consumers have come: the least of their cursors, 0 while one has none."""
+    own = named_watermarks(history.filter(F.col("scope").isin(*consumers)), seq)
+    n, least = own.agg(F.count(F.lit(1)), F.min("last_offset")).first()
+    return least if n == len(set(consumers)) else 0

@@ -253,7 +253,23 @@ SELECT concat(provider, '.', stream) AS scope, max(ts_ns) AS last_offset FROM jo
 def set_watermark(t: Tables) -> DataFrame:
     """Cursors moved to where each stream stands, by way of an earlier position, and read back."""
     path = shared_dir(t.spark, "named")
-    for scope, last in journal(t).groupBy(F.concat_ws(".", "provider", "stream")).agg(F.max("ts_ns")).collect():
-        for seq, value in ((1, last - 1), (2, last), (2, last)):
-            batches.set_watermark(t.spark, path, scope, value, seq)
+    last = journal(t).groupBy(F.concat_ws(".", "provider", "stream").alias("scope")).agg(F.max("ts_ns").alias("last_offset"))
+    batches.set_watermarks(last.withColumn("last_offset", F.col("last_offset") - 1), path, 1)
+    for _ in range(2):
+        batches.set_watermarks(last, path, 2)
     return batches.named_watermarks(t.spark.read.parquet(path))
+
+
+@query("prune_by_cursors", "journal", """
+SELECT (SELECT count(*) FROM journal WHERE batch_id <= 20) AS deleted, batch_id, symbol, ts_ns, seq FROM journal WHERE batch_id > 20""")
+def prune_by_cursors(t: Tables) -> DataFrame:
+    """Two consumers of a stored journal, one of them behind: only what both have read goes, but for the last 20 batches."""
+    root, cursors = shared_dir(t.spark, "pruned"), shared_dir(t.spark, "cursors")
+    tables.write_journal(journal(t).select("provider", "stream", "symbol", "ts_ns", "seq", "is_final", "payload", "batch_id"), root)
+    stored = t.spark.read.parquet(root)
+    for consumer, steps in {"tables": (20, 40), "journal": (30, 63)}.items():
+        write = tables.cursor_writer(lambda rows, batch_id: None, consumer, cursors)
+        for batch_id, (low, high) in enumerate(zip((-1, *steps), steps)):
+            write(stored.filter((F.col("batch_id") > low) & (F.col("batch_id") <= high)), batch_id)
+    deleted = tables.prune_by_cursors(t.spark, root, t.spark.read.parquet(cursors), ["tables", "journal"], 20)
+    return t.spark.read.parquet(root).select(F.lit(deleted).cast("bigint").alias("deleted"), F.col("batch_id").cast("bigint").alias("batch_id"), "symbol", "ts_ns", "seq")

@@ -12,11 +12,13 @@ from tickbars.operators.latest import latest_by_key
 from tickbars.plans.bars import ORACLE_STITCHED_5M
 from tickbars.plans.feeds import ATTACH_NS, DAY_NS, GAPLESS
 from tickbars.plans.quotes import quotes_table, updates
+from tickbars.plans.raw import TICK, trade_messages
 from tickbars.plans.registry import Tables, query, rounded
 from tickbars.session import shared_dir
 from tickbars.streaming import bars as live
-from tickbars.streaming import feeds, scans, state
+from tickbars.streaming import feeds, messages, scans, state
 from tickbars.streaming.partials import LiveBars
+from tickbars.streaming.stats import FeedMonitor
 
 DELAY = "1 minute"
 _BAR = "Timestamp, Symbol, BarId, Open, High, Low, Close, Volume, Trades, round(Vwap, 6) AS Vwap, BuyerMakerCount"
@@ -193,6 +195,56 @@ def feed_stats(t: Tables) -> DataFrame:
     return feed.feed_stats(changes)
 
 
+@query("live_feed_stats", "trades", f"""{_CHANGES}
+SELECT 'binance' AS provider, 'ohlcv_1m' AS schema, Symbol AS symbol, count(*) FILTER (WHERE part = 'added') AS total_added_rows,
+       count(*) FILTER (WHERE part = 'updated') AS total_updated_rows, count(*) FILTER (WHERE part = 'completed') AS total_completed_rows,
+       CAST(1 AS BIGINT) AS subscriber_count, (SELECT count(DISTINCT Symbol) FROM changes) AS total_handles FROM changes GROUP BY Symbol""")
+def live_feed_stats(t: Tables) -> DataFrame:
+    """A subscription to each symbol of the change feed, over several micro-batches, and what the monitor saw of them."""
+    out = shared_dir(t.spark, "stats")
+    changes = _change_feed(t).drop("batch_id")
+    changes.repartition(3, "Symbol", "Timestamp").write.parquet(f"{out}/changes")
+    symbols = [r[0] for r in changes.select("Symbol").distinct().collect()]  # one per subscription
+    monitor = FeedMonitor(t.spark, f"{out}/stats")
+
+    def subscription(symbol: str):
+        feed_rows = live.read_ticks(t.spark, f"{out}/changes", changes.schema, max_files=1)
+        return monitor.subscribe(feed_rows, "binance", "ohlcv_1m", symbol, state.batch_writer(f"{out}/{symbol}"), f"{out}/checkpoints/{symbol}")
+
+    running = [subscription(s) for s in symbols]
+    _finished(running)
+    monitor.close(running)
+    return monitor.latest().select("provider", "schema", "symbol", "total_added_rows", "total_updated_rows", "total_completed_rows", "subscriber_count", "total_handles")
+
+
+def _message_stream(t: Tables) -> str:
+    """Live trade messages, and bad lines among them, landed as text one after the other and read as a stream."""
+    out = shared_dir(t.spark, "messages")
+    good = trade_messages(t)
+    bad = t.view("trades").filter("TradeID % 50 = 0").select(F.explode(F.array(
+        F.concat(F.lit('{"e":"trade","t":'), F.col("TradeID").cast("string")),
+        F.concat(F.lit('{"e":"other","t":'), F.col("TradeID").cast("string"), F.lit("}")),
+        F.concat(F.lit('{"e":"trade","s":"'), F.col("Symbol"), F.lit('","T":1}')))).alias("value"))
+    for part in (bad, good):
+        part.write.mode("append").text(f"{out}/lines")
+        raw = messages.read_messages(t.spark, f"{out}/lines", max_files=3)
+        _finished([state.start(messages.parsed(raw), messages.message_writer(f"{out}/ticks"), f"{out}/checkpoint")])
+    return f"{out}/ticks"
+
+
+@query("stream_parse_trades", "trades", TICK)
+def stream_parse_trades(t: Tables) -> DataFrame:
+    return messages.accepted(t.spark, _message_stream(t)).select("provider", "stream", "symbol", "ts_ns", "seq", "is_final", "payload.*")
+
+
+@query("stream_trade_rejects", "trades", """
+SELECT concat('{"e":"trade","t":', CAST(TradeID AS VARCHAR)) AS value, 'not JSON' AS reason FROM trades WHERE TradeID % 50 = 0
+UNION ALL SELECT concat('{"e":"other","t":', CAST(TradeID AS VARCHAR), '}'), 'no symbol' FROM trades WHERE TradeID % 50 = 0
+UNION ALL SELECT concat('{"e":"trade","s":"', Symbol, '","T":1}'), 'no id' FROM trades WHERE TradeID % 50 = 0""")
+def stream_trade_rejects(t: Tables) -> DataFrame:
+    return messages.rejected(t.spark, _message_stream(t)).drop("batch_id")
+
+
 @query("stream_seq_gaps", "gaps_arrival", "SELECT symbol, start_id, end_id, discovered_at_ns FROM gaps_arrival")
 def stream_seq_gaps(t: Tables) -> DataFrame:
     out = shared_dir(t.spark, "stream")

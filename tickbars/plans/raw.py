@@ -36,7 +36,7 @@ def trade_messages(t: Tables) -> DataFrame:
     return t.view("trades").select(F.when(F.col("IsBuyerMaker"), wrapped).otherwise(plain).alias("value"))
 
 
-_TICK = """SELECT 'binance' AS provider, 'trades' AS stream, Symbol AS symbol, (epoch_us(Timestamp) // 1000) * 1000000 AS ts_ns, TradeID AS seq,
+TICK = """SELECT 'binance' AS provider, 'trades' AS stream, Symbol AS symbol, (epoch_us(Timestamp) // 1000) * 1000000 AS ts_ns, TradeID AS seq,
        TRUE AS is_final, Price, Quantity, BuyerID, SellerID, IsBuyerMaker FROM trades"""
 
 
@@ -44,12 +44,12 @@ def _spread(ticks: DataFrame) -> DataFrame:
     return ticks.select("provider", "stream", "symbol", "ts_ns", "seq", "is_final", "payload.*")
 
 
-@query("parse_trade_json", "trades", _TICK)
+@query("parse_trade_json", "trades", TICK)
 def parse_trade_json(t: Tables) -> DataFrame:
     return _spread(trades.parse_trade_json(trade_messages(t)))
 
 
-@query("parse_trade_rest", "trades", _TICK.replace("BuyerID, SellerID", "CAST(0 AS BIGINT) AS BuyerID, CAST(0 AS BIGINT) AS SellerID"))
+@query("parse_trade_rest", "trades", TICK.replace("BuyerID, SellerID", "CAST(0 AS BIGINT) AS BuyerID, CAST(0 AS BIGINT) AS SellerID"))
 def parse_trade_rest(t: Tables) -> DataFrame:
     """Rows using each of the alternative keys in turn, some with empty first choices."""
     price, qty = F.col("Price").cast("string"), F.col("Quantity").cast("string")

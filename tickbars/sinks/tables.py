@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from tickbars import schemas
 from tickbars.functions import ns_to_ntz
-from tickbars.operators.batches import PRUNE_SAFETY_BATCHES
+from tickbars.operators.batches import PRUNE_SAFETY_BATCHES, set_watermarks, slowest_cursor
 from tickbars.operators.eventlog import event_rows
 from tickbars.operators.filters import filter_provider_stream
 from tickbars.operators.latest import canonical_upsert, upsert_into, with_natural_key
@@ -166,6 +166,23 @@ def prune_batches(spark: SparkSession, root: str, last_committed: int, safety: i
     return sum(row.rows for row in old)
 
 
+def prune_by_cursors(spark: SparkSession, root: str, cursors: DataFrame, consumers: Sequence[str], safety: int = PRUNE_SAFETY_BATCHES) -> int:
+    """Delete batches of a journal that every consumer has read, but for the last ``safety`` of them; gives the rows that went.
+
+    ``cursors`` is the history of named cursors. A consumer that is behind, or has no cursor yet, holds back all it has not read.
+    """
+    return prune_batches(spark, root, slowest_cursor(cursors, consumers), safety)
+
+
+def cursor_writer(batch: Callable[[DataFrame, int], None], consumer: str, path: str) -> Callable[[DataFrame, int], None]:
+    """A batch function that moves the consumer's cursor to the newest batch of the feed, once its rows are written."""
+    def run(rows: DataFrame, batch_id: int) -> None:
+        batch(rows, batch_id)
+        newest = rows.agg(F.max("batch_id").alias("last_offset")).filter("last_offset IS NOT NULL")
+        set_watermarks(newest.withColumn("scope", F.lit(consumer)), path, batch_id)
+    return run
+
+
 def hot_dir(root: str, provider: str, stream: str, layout: str = "flat") -> str:
     """Folder of one stream: ``root/provider_stream``, or ``root/provider/stream`` when nested."""
     return f"{root}/{provider}/{stream}" if layout == "nested" else f"{root}/{provider}_{stream}"

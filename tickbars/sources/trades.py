@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +37,8 @@ def _flag(text: Column) -> Column:
     return F.coalesce(text.try_cast("boolean"), F.lit(False))
 
 
-def parse_trade_json(raw: DataFrame, column: str = "value") -> DataFrame:
-    """Live trade messages, plain or wrapped in ``{"stream", "data"}``, to ticks."""
+def parse_trade_json(raw: DataFrame, column: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+    """Live trade messages, plain or wrapped in ``{"stream", "data"}``, to ticks; ``keep`` names columns that stay."""
     body = F.coalesce(F.get_json_object(column, "$.data"), F.col(column))
     m = F.col("m")
     payload = F.struct(
@@ -47,8 +49,8 @@ def parse_trade_json(raw: DataFrame, column: str = "value") -> DataFrame:
         _flag(m["maker"]).alias("IsBuyerMaker"),
     )
     fields = _fields(body, symbol="s", id="t", ms="T", price="p", quantity="q", buyer="b", seller="a", maker="m")
-    return raw.select(fields.alias("m")) \
-        .select(*_tick(m["symbol"], ms_to_ns(to_long(m["ms"])), to_long(m["id"]), payload))
+    return raw.select(*keep, fields.alias("m")) \
+        .select(*keep, *_tick(m["symbol"], ms_to_ns(to_long(m["ms"])), to_long(m["id"]), payload))
 
 
 def parse_trade_rest(raw: DataFrame, column: str = "value", symbol: str | None = None) -> DataFrame:
