@@ -126,7 +126,7 @@ def test_repeated_writes_replace_their_rows(spark, tmp_path):
 
 def test_nothing_is_pruned_that_a_consumer_has_not_read(spark, tmp_path):
     root, cursors = str(tmp_path / "journal"), str(tmp_path / "cursors")
-    tables.write_journal(spark.createDataFrame([(b, b * 10 + i) for b in range(8) for i in range(2)], "batch_id INT, seq BIGINT"), root)
+    tables.write_journal(spark.createDataFrame([(b, b * 10 + i) for b in range(1, 9) for i in range(2)], "batch_id INT, seq BIGINT"), root)
     seen = {"fast": [], "slow": []}
 
     def read(consumer, low, high, batch_id, fails=False):
@@ -142,14 +142,14 @@ def test_nothing_is_pruned_that_a_consumer_has_not_read(spark, tmp_path):
     def prune(safety=1):
         return tables.prune_by_cursors(spark, root, spark.read.parquet(cursors), ["fast", "slow"], safety)
 
-    read("fast", 0, 6, 0)
-    assert prune() == 0 and left() == list(range(8))  # one consumer has no cursor yet
-    read("slow", 0, 1, 0)
+    read("fast", 1, 7, 0)
+    assert prune() == 0 and left() == list(range(1, 9))  # one consumer has no cursor yet
+    read("slow", 1, 2, 0)
     with pytest.raises(RuntimeError):
-        read("slow", 2, 5, 1, fails=True)  # not handled: the cursor stays
-    assert prune() == 2 and left() == [1, 2, 3, 4, 5, 6, 7]
+        read("slow", 3, 6, 1, fails=True)  # not handled: the cursor stays
+    assert prune() == 2 and left() == [2, 3, 4, 5, 6, 7, 8]
     for _ in range(2):
-        read("slow", 2, 5, 1)
+        read("slow", 3, 6, 1)
     read("slow", 9, 9, 2)  # an empty batch moves nothing
-    assert prune() == 8 and left() == [5, 6, 7]
-    assert set(seen["slow"]) == {b * 10 + i for b in range(6) for i in range(2)}
+    assert prune() == 8 and left() == [6, 7, 8]
+    assert set(seen["slow"]) == {b * 10 + i for b in range(1, 7) for i in range(2)}
