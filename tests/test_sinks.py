@@ -59,18 +59,54 @@ def test_canonical_table_equals_one_pass(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_layout_and_compaction(spark, tmp_path):
-    df = spark.range(400).select(F.lit("p").alias("provider"), F.lit("s").alias("stream"), (F.col("id") * 3_600_000_000_000).alias("ts_ns"))
-    for _ in range(3):
-        tables.write_ticks(df, str(tmp_path / "raw"))
-    before = len(list((tmp_path / "raw").rglob("*.parquet")))
-    total = spark.read.parquet(str(tmp_path / "raw")).count()
-    compacted = tables.compact_partitions(spark, str(tmp_path / "raw"), str(tmp_path / "packed"))
-    assert compacted.count() == total and len(list((tmp_path / "packed").rglob("*.parquet"))) == 17 <= before
-    assert (tmp_path / "packed/provider=p/stream=s/date=1970-01-01").exists()
+def test_layout_and_compaction(spark, tmp_path, monkeypatch):
+    root = tmp_path / "raw"
+    df = spark.range(240).select(F.lit("p").alias("provider"), F.lit("s").alias("stream"), (F.col("id") * 3_600_000_000_000).alias("ts_ns"))
+    for part in (df, df.filter("ts_ns < 120 * 3600000000000")):
+        tables.write_ticks(part, str(root))
+    rows = sorted(r.ts_ns for r in spark.read.parquet(str(root)).collect())
+
+    def files():
+        return {p.parent.name: sorted(f.name for f in p.parent.glob("*.parquet")) for p in root.rglob("*.parquet")}
+
+    before = files()
+    assert len(before) == 10 and {len(f) for f in before.values()} == {1, 2}
+    assert {r.folder.rsplit("/", 1)[1] for r in tables.crowded_folders(spark, str(root)).collect()} == {d for d, f in before.items() if len(f) == 2}
+    put_back, calls = tables.remove, []
+
+    def down(spark, path):
+        calls.append(path)
+        raise RuntimeError("down")
+
+    monkeypatch.setattr(tables, "remove", down)
+    with pytest.raises(RuntimeError):  # after the rows went back, before the staging folder went
+        tables.compact_partitions(spark, str(root), folders_at_once=2)
+    monkeypatch.setattr(tables, "remove", put_back)
+    assert tables.compact_partitions(spark, str(root), folders_at_once=2) == 3
+    after = files()
+    assert {len(f) for f in after.values()} == {1} and not (tmp_path / "raw-compacted").exists()
+    assert all(after[d] == f for d, f in before.items() if len(f) == 1)  # well-sized folders are left alone
+    assert sorted(r.ts_ns for r in spark.read.parquet(str(root)).collect()) == rows
+    assert tables.compact_partitions(spark, str(root)) == 0
     assert tables.hot_dir("r", "p", "s") == "r/p_s" and tables.hot_dir("r", "p", "s", "nested") == "r/p/s"
 
 
+def test_canonical_deltas_equal_upserts(spark, tmp_path):
+    rnd = random.Random(8)
+    rows = [(rnd.choice([None, "p"]), rnd.choice("st"), rnd.choice("AB"), rnd.randrange(60) * 10 ** 12, rnd.choice([None, 1, 2, 30]), rnd.random() < .3, f"{b}-{i}", b)
+            for b in range(6) for i in range(15)]
+    df = spark.createDataFrame(rows, TICK + ", batch_id BIGINT")
+    root = tmp_path / "canonical"
+    merge = tables.canonical_deltas(str(root), ["payload"], fold_every=2, ids_per_block=10)
+    for b in (0, 1, 2, 2, 3, 4, 4, 5):
+        merge(df.filter(F.col("batch_id") == b), b)
+        if b in (1, 3, 5):
+            got = tables.canonical_rows(spark, str(root), ["payload"]).select("provider", "stream", "symbol", "nat_key", "payload")
+            want = latest.canonical_upsert(df.filter(F.col("batch_id") <= b), ["payload"]).select(*got.columns)
+            assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert sorted(p.name for p in (root / "deltas").iterdir() if p.is_dir()) == ["delta=4", "delta=5"]
+
+
 def test_ndjson_and_replay(spark, tmp_path):
     tables.write_ndjson(ticks(spark).select("symbol", "seq"), str(tmp_path / "text"))
     docs = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "text")).collect()]

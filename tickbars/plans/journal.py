@@ -39,10 +39,20 @@ def canonical_upsert(t: Tables) -> DataFrame:
 def canonical_merge(t: Tables) -> DataFrame:
     """The upsert applied batch by batch: the first half of the batches, then the second."""
     rows, root = journal(t), shared_dir(t.spark, "canonical")
-    merge = tables.canonical_merge(root, TIES, days_per_block=365)
+    merge = tables.canonical_deltas(root, TIES, days_per_block=365)
     merge(rows.filter("batch_id < 32"), 0)
     merge(rows.filter("batch_id >= 32"), 1)
-    return t.spark.read.parquet(root).select(*KEY_COLS)
+    return tables.canonical_rows(t.spark, root, TIES).select(*KEY_COLS)
+
+
+@query("canonical_folded", "canonical", f"SELECT {_KEYS} FROM canonical")
+def canonical_folded(t: Tables) -> DataFrame:
+    """The upsert in three batches, the first of them merged into blocks before the third comes."""
+    rows, root = journal(t), shared_dir(t.spark, "canonical")
+    merge = tables.canonical_deltas(root, TIES, fold_every=2, days_per_block=365)
+    for batch_id, which in enumerate(("batch_id < 20", "batch_id >= 20 AND batch_id < 40", "batch_id >= 40")):
+        merge(rows.filter(which), batch_id)
+    return tables.canonical_rows(t.spark, root, TIES).select(*KEY_COLS)
 
 
 def _halves(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -195,27 +205,26 @@ def payload_fields(t: Tables) -> DataFrame:
 
 
 @query("journal_append", "journal", """
-SELECT batch_id, count(*) AS row_count, count(seq) AS with_seq, max(ts_ns) AS last_ts_ns FROM journal GROUP BY batch_id""")
+SELECT provider, stream, symbol, ts_ns, seq, is_final, batch_id FROM journal""")
 def journal_append(t: Tables) -> DataFrame:
     """Ticks written to the journal twice: the second time replaces the first."""
     root = shared_dir(t.spark, "journal")
     rows = journal(t).select("provider", "stream", "symbol", "ts_ns", "seq", "is_final", "payload", "batch_id")
     for _ in range(2):
         tables.write_journal(rows, root)
-    return t.spark.read.parquet(root).groupBy(F.col("batch_id").cast("bigint").alias("batch_id")) \
-        .agg(F.count(F.lit(1)).alias("row_count"), F.count("seq").alias("with_seq"), F.max("ts_ns").alias("last_ts_ns"))
+    return t.spark.read.parquet(root).select("provider", "stream", "symbol", "ts_ns", "seq", "is_final", F.col("batch_id").cast("bigint").alias("batch_id"))
 
 
 @query("compact_partitions", "journal", """
-SELECT provider, stream, CAST(date_trunc('month', ts) AS DATE) AS date, count(*) AS row_count, max(ts_ns) AS last_ts_ns FROM journal GROUP BY ALL""")
+SELECT provider, stream, CAST(date_trunc('month', ts) AS DATE) AS date, symbol, ts_ns, seq, is_final, batch_id FROM journal""")
 def compact_partitions(t: Tables) -> DataFrame:
-    """Ticks by month written in two appends, then compacted."""
-    root, packed = shared_dir(t.spark, "ticks"), shared_dir(t.spark, "compacted")
+    """Ticks by month written in two appends, of which some months get but one; then the others are compacted."""
+    root = shared_dir(t.spark, "ticks")
     rows = journal(t).select("provider", "stream", "symbol", "ts_ns", "seq", "is_final", "payload", "batch_id")
     for which in ("batch_id < 32", "batch_id >= 32"):
         tables.write_ticks(rows.filter(which), root, unit="month")
-    compacted = tables.compact_partitions(t.spark, root, packed)
-    return compacted.groupBy("provider", "stream", "date").agg(F.count(F.lit(1)).alias("row_count"), F.max("ts_ns").alias("last_ts_ns"))
+    tables.compact_partitions(t.spark, root)
+    return t.spark.read.parquet(root).select("provider", "stream", "date", "symbol", "ts_ns", "seq", "is_final", "batch_id")
 
 
 @query("journal_and_canonical", "journal", """, fed AS (
@@ -234,7 +243,7 @@ def journal_and_canonical(t: Tables) -> DataFrame:
         write(ticks.filter(F.col("batch_id") == batch), batch)
     columns = ["provider", "stream", "symbol", "nat_key", "ts_ns", "seq", "is_final", "batch_id", "price", "qty"]
     stored = latest.with_natural_key(t.spark.read.parquet(hot)).withColumn("batch_id", F.col("batch_id").cast("bigint"))
-    return t.spark.read.parquet(canonical).select(F.lit("canonical").alias("table_name"), *columns) \
+    return tables.canonical_rows(t.spark, canonical, ["price", "qty"]).select(F.lit("canonical").alias("table_name"), *columns) \
         .unionByName(stored.select(F.lit("journal").alias("table_name"), *columns))
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tickbars import schemas
 from tickbars.functions import ns_to_ntz
@@ -21,6 +21,11 @@ from tickbars.sources.quotes import flatten_quotes
 from tickbars.sources.trades import flatten_trades
 from tickbars.sources.vendor import flatten_bars
 
+#: Batches that stand beside the blocks of the canonical table before they are merged into them.
+FOLD_EVERY = 16
+#: Size of a file that is large enough.
+TARGET_BYTES = 128 << 20
+
 
 @dataclass(frozen=True)
 class Route:
@@ -143,10 +148,42 @@ def _touched_blocks(stored: DataFrame, rows: DataFrame, folders: tuple[str, ...]
     return stored.join(touched, same, "left_semi")
 
 
-def journal_and_canonical(journal_root: str, canonical_root: str, ties: Iterable[str] = (), **blocks: int) -> Callable[[DataFrame, int], None]:
+def canonical_deltas(root: str, ties: Iterable[str] = (), fold_every: int = FOLD_EVERY, **blocks: int) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that keeps the canonical table as blocks of keys and newer batches beside them.
+
+    A batch only writes its own best rows; ``canonical_rows`` picks the best of all. Every so many batches, those since are
+    merged into the blocks they touch and removed. Until then a row may stand in both places, which changes
+    nothing, so a failed batch is simply run again.
+    """
+    ties, merge = tuple(ties), canonical_merge(f"{root}/blocks", ties, **blocks)
+
+    def fold(spark: SparkSession, end: int) -> None:
+        if exists(spark, f"{root}/deltas/delta={end - 1}"):
+            merge(spark.read.parquet(f"{root}/deltas").filter(F.col("delta") < end).drop("delta"), end)
+            for batch_id in range(end - fold_every, end):
+                remove(spark, f"{root}/deltas/delta={batch_id}")
+
+    def write(ticks: DataFrame, batch_id: int) -> None:
+        if batch_id and batch_id % fold_every == 0:
+            fold(ticks.sparkSession, batch_id)
+        rows = ticks if "batch_id" in ticks.columns else ticks.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        canonical_upsert(rows, ties).write.mode("overwrite").parquet(f"{root}/deltas/delta={batch_id}")
+    return write
+
+
+def canonical_rows(spark: SparkSession, root: str, ties: Iterable[str] = ()) -> DataFrame:
+    """The canonical table kept by ``canonical_deltas``: the best row of each natural key."""
+    newer = spark.read.parquet(f"{root}/deltas").drop("delta")
+    if not exists(spark, f"{root}/blocks"):
+        return canonical_upsert(newer, tuple(ties))
+    schema = StructType([*newer.schema, StructField("block", StringType())])
+    return canonical_upsert(spark.read.schema(schema).parquet(f"{root}/blocks").drop("block").unionByName(newer), tuple(ties))
+
+
+def journal_and_canonical(journal_root: str, canonical_root: str, ties: Iterable[str] = (), **settings: int) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function for both tables: the batch goes to the hot journal, and from there, as it was
-    stored, into the canonical table. Either step can be repeated."""
-    append, merge = journal_append(journal_root), canonical_merge(canonical_root, ties, **blocks)
+    stored, into the canonical table (see ``canonical_deltas``). Either step can be repeated."""
+    append, merge = journal_append(journal_root), canonical_deltas(canonical_root, ties, **settings)
 
     def write(ticks: DataFrame, batch_id: int) -> None:
         append(ticks, batch_id)
@@ -203,13 +240,40 @@ def write_ticks(ticks: DataFrame, root: str, mode: str = "append", unit: str = "
             .option("partitionOverwriteMode", "dynamic").partitionBy(*folders, "write_id").parquet(root)
 
 
-def compact_partitions(spark: SparkSession, source: str, target: str, partitions: tuple[str, ...] = ("provider", "stream", "date")) -> DataFrame:
-    """Rewrite a partitioned table with few, well-sized files; gives the new table.
+def crowded_folders(spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES) -> DataFrame:
+    """``folder, files, bytes`` of the folders of a table that hold more files than their size asks for.
+
+    Reads names and sizes of files only.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(root)
+    folders = files.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), "length").groupBy("folder") \
+        .agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+    return folders.filter(F.col("files") > F.ceil(F.col("bytes") / target_bytes))
+
+
+def compact_partitions(spark: SparkSession, root: str, partitions: tuple[str, ...] = ("provider", "stream", "date"), *,
+                       target_bytes: int = TARGET_BYTES, folders_at_once: int = 1000) -> int:
+    """Rewrite the crowded folders of a partitioned table in place, and only those; gives their number.
 
-    Goes to another folder: a table must not be overwritten while it is read.
+    The rows go to a staging folder, complete or not at all, and from there replace their folders. A run that failed while
+    replacing goes on from its staging folder.
     """
-    spark.read.parquet(source).hint("rebalance", *partitions).write.mode("overwrite").partitionBy(*partitions).parquet(target)
-    return spark.read.parquet(target)
+    staging, schema = f"{root}-compacted", spark.read.parquet(root).schema
+
+    def put(rows: DataFrame, path: str) -> None:
+        rows.hint("rebalance", *partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+
+    def replace() -> None:
+        put(spark.read.schema(schema).parquet(staging), root)
+        remove(spark, staging)
+
+    if exists(spark, f"{staging}/_SUCCESS"):
+        replace()
+    names = [r.folder for r in crowded_folders(spark, root, target_bytes).select("folder").collect()]  # names of folders, not of files
+    for at in range(0, len(names), folders_at_once):
+        put(spark.read.schema(schema).option("basePath", root).parquet(*names[at:at + folders_at_once]), staging)
+        replace()
+    return len(names)
 
 
 def rows_to_ndjson(rows: DataFrame) -> DataFrame:

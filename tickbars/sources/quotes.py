@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tickbars import schemas
 from tickbars.functions import ns_to_ntz, s_to_ns, split_exchange_symbol, to_double
 
 
 _MARK = "~m~"
+#: Frames that leave a task together.
+FRAME_ROWS = 10_000
 
 
-def _split_frames(text: str | None) -> list[str]:
-    """Messages of one length-prefixed text; stops at the first malformed frame."""
-    frames, at = [], 0
+def _split_frames(text: str | None) -> Iterator[str]:
+    """Messages of one length-prefixed text, one by one; stops at the first malformed frame."""
+    at = 0
     while text is not None and text.startswith(_MARK, at):
         start = at + len(_MARK)
         end = text.find(_MARK, start)
@@ -25,23 +28,36 @@ def _split_frames(text: str | None) -> list[str]:
             break
         body = end + len(_MARK)
         at = body + int(size)
-        frames.append(text[body:at])
-    return frames
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _frames(texts: pd.Series) -> pd.Series:
-    return texts.map(_split_frames)
+        yield text[body:at]
 
 
 def explode_frames(raw: DataFrame, column: str = "value") -> DataFrame:
     """One row per JSON message of each framed text; heartbeats and broken JSON are dropped.
 
-    Lengths decide where a frame ends, so a text has to be walked through; only that step runs in
-    Python, over Arrow batches.
+    Lengths decide where a frame ends, so a text has to be walked through; that step runs in Python, over Arrow
+    batches, and hands on bounded numbers of frames, however many one text holds.
     """
-    frames = raw.withColumn(column, F.explode(_frames(F.col(column))))
-    return frames.filter(~F.col(column).startswith("~h~") & F.try_parse_json(column).isNotNull())
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(column)
+            rows, frames = [], []
+
+            def found() -> pa.RecordBatch:
+                columns = batch.take(pa.array(rows, pa.int64())).columns
+                columns[at] = pa.array(frames, batch.schema.field(at).type)
+                return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+            for i, text in enumerate(batch.column(at).to_pylist()):
+                for frame in _split_frames(text):
+                    if not frame.startswith("~h~"):
+                        rows.append(i)
+                        frames.append(frame)
+                        if len(frames) == FRAME_ROWS:
+                            yield found()
+                            rows, frames = [], []
+            yield found()
+
+    return raw.mapInArrow(split, raw.schema).filter(F.try_parse_json(column).isNotNull())
 
 
 def parse_quote_json(raw: DataFrame, column: str = "value") -> DataFrame:
