@@ -104,3 +104,17 @@ def test_a_mislabelled_calibration_document_does_not_end_rejection():
     noise = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(120))
     assert model.classify([text("c") for _ in range(5)] + [noise]).rejected.all()
     assert not model.classify([text(k) for k in "ab" for _ in range(20)]).rejected.any()
+
+
+def test_every_language_is_learned_even_from_long_documents_only(spark):
+    import random
+
+    rng = random.Random(4)
+
+    def text(k, n):
+        letters = [chr(0x4E00 + 12 * k + j) for j in range(12)]
+        return " ".join("".join(rng.choices(letters, k=rng.randint(2, 6))) for _ in range(n))
+    rows = [(k * 100 + i, text(k, 2500 if k == 0 else 30), f"l{k:02}") for k in range(70) for i in range(12)]
+    out = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {r.doc_id // 100 for r in out if r.held_out} >= set(range(1, 60))
+    assert all(r.lang_pred == f"l{r.doc_id // 100:02}" and not r.rejected for r in out)

@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDER = 5
-#: What is learned from: so many documents of each language, by the least hash of their ids, none longer than
-#: this, of the most frequent languages. Every fourth of them calibrates the rejection and is not counted.
+#: What is learned from: so many documents of each language, by the least hash of their ids, and so many characters
+#: of each, from a place that hangs on its id. Every fourth of them calibrates the rejection and is not counted.
 LEARNED_DOCS = 400
 LEARNED_CHARS = 8000
-LANGUAGES = 64
+#: Groups in which the documents of one language are ranked first, so that no task sees them all.
+SALTS = 64
 #: Characters scored at once, and places of the table of scores known already.
 SLICE = 1 << 18
 KNOWN_BITS = 18
@@ -276,22 +277,25 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame) -> Model:
-    """A model of the languages in ``lang``, from a bounded sample of the documents that are not held out.
+    """A model of all languages in ``lang``, from a bounded sample of the documents of each that are not held out.
 
-    Rows with a null lang, text or doc_id, and texts without a letter, teach nothing. Which documents are taken
-    depends on their ids alone; only ids and then the chosen texts come to the driver.
+    Rows with a null lang, text or doc_id, and texts without a letter, teach nothing. Which documents are taken, and which
+    slice of a long one, depends on their ids alone; only ids and then the chosen slices come to the driver. The
+    model grows with the number of languages, not of documents.
     """
-    usable = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out() & F.col("text").rlike("\\p{L}")
-                         & (F.length("text") <= LEARNED_CHARS)).select("doc_id", "lang", "text")
-    ids = usable.select("doc_id", "lang").distinct()
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = ids.withColumn("place", place).filter(F.col("place") <= LEARNED_DOCS).groupBy("lang").agg(
-        F.collect_list("doc_id").alias("ids"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    usable = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out() & F.col("text").rlike("\\p{L}")) \
+        .select("doc_id", "lang", "text")
+    ids = usable.select("doc_id", "lang").distinct().withColumn("salt", F.crc32(F.col("doc_id").cast("string")) % SALTS)
+    order = F.xxhash64("doc_id"), F.col("doc_id")
+    for keys in (("lang", "salt"), ("lang",)):
+        ids = ids.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("place") <= LEARNED_DOCS).drop("place")
+    chosen = ids.groupBy("lang").agg(F.collect_list("doc_id").alias("ids"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").collect()
     wanted = sorted({i for row in chosen for i in row.ids})
-    languages = [row.lang for row in chosen]
     texts: dict[str, list[str]] = {}
     if wanted:
-        rows = usable.filter(F.col("doc_id").isin(wanted) & F.col("lang").isin(languages)).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+        spare = F.greatest(F.length("text") - LEARNED_CHARS, F.lit(0))
+        piece = F.substring("text", (F.pmod(F.xxhash64("doc_id"), spare + 1) + 1).cast("int"), F.lit(LEARNED_CHARS))
+        rows = usable.filter(F.col("doc_id").isin(wanted)).select("lang", "doc_id", piece.alias("text")).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
         for lang, _, text in rows.orderBy("lang", F.xxhash64("doc_id"), "doc_id").collect():
             texts.setdefault(lang, []).append(text)
     return Model(texts)
