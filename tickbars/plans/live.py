@@ -39,12 +39,6 @@ def _finished(queries) -> None:
         q.awaitTermination()
 
 
-def _to_files(t: Tables, stream: DataFrame) -> DataFrame:
-    out = shared_dir(t.spark, "stream")
-    _finished([state.start_files(stream, f"{out}/data", f"{out}/checkpoint")])
-    return t.spark.read.schema(stream.schema).parquet(f"{out}/data")
-
-
 def _live_bars(t: Tables, trades: DataFrame, period: int = 1) -> DataFrame:
     """Closed bars as a subscriber ends up with them: of each the newest report."""
     out = shared_dir(t.spark, "stream")
@@ -83,13 +77,21 @@ def forced_completion(t: Tables) -> DataFrame:
     return _live_bars(t, live.with_heartbeats(trade_stream(t), beats))
 
 
-def _in_thirds(t: Tables, rows: DataFrame, time_col: str, path: str) -> None:
-    """Land rows as three files, in the order of a time column."""
+def _thirds(rows: DataFrame, time_col: str) -> list[DataFrame]:
+    """Rows in three parts, one after the other by a time column."""
     low, high = rows.agg(F.min(time_col), F.max(time_col)).first()
     cuts = [ntz(low + (high - low) * i / 3) for i in (1, 2)]
     at = F.col(time_col)
-    for part in (at < cuts[0], (at >= cuts[0]) & (at < cuts[1]), at >= cuts[1]):
-        rows.filter(part).coalesce(1).write.mode("append").parquet(path)
+    return [rows.filter(part) for part in (at < cuts[0], (at >= cuts[0]) & (at < cuts[1]), at >= cuts[1])]
+
+
+def _streamed(t: Tables, parts: list[DataFrame], out: str, change) -> DataFrame:
+    """Parts landed one after the other, in as many files as their tasks, and streamed as a micro-batch each."""
+    for part in parts:
+        part.write.mode("append").parquet(f"{out}/landed")
+        stream = change(live.read_ticks(t.spark, f"{out}/landed", part.schema, max_files=1 << 30))
+        _finished([state.start_files(stream, f"{out}/data", f"{out}/checkpoint")])
+    return t.spark.read.schema(stream.schema).parquet(f"{out}/data")
 
 
 def _live_quote_bars(t: Tables) -> DataFrame:
@@ -97,18 +99,17 @@ def _live_quote_bars(t: Tables) -> DataFrame:
     out = shared_dir(t.spark, "quotes")
     rows = quotes_table(t).drop("Change", "ChangePct")
     rows.write.parquet(f"{out}/all")
-    _in_thirds(t, t.spark.read.schema(rows.schema).parquet(f"{out}/all"), "LpTime", f"{out}/quotes")
-    beat = rows.agg((F.max("LpTime") + F.expr("INTERVAL '5' MINUTE")).alias("LpTime"))
-    rows.limit(0).unionByName(beat, allowMissingColumns=True).coalesce(1).write.mode("append").parquet(f"{out}/quotes")
-    return _to_files(t, live.stream_quote_bars(live.read_ticks(t.spark, f"{out}/quotes", rows.schema, max_files=1), 1, DELAY))
+    stored = t.spark.read.schema(rows.schema).parquet(f"{out}/all")
+    beat = stored.agg((F.max("LpTime") + F.expr("INTERVAL '5' MINUTE")).alias("LpTime"))
+    parts = [*_thirds(stored, "LpTime"), stored.limit(0).unionByName(beat, allowMissingColumns=True)]
+    return _streamed(t, parts, out, lambda quotes: live.stream_quote_bars(quotes, 1, DELAY))
 
 
 def _live_vendor_bars(t: Tables) -> DataFrame:
     """Vendor bars as they come, repaints among them, in three micro-batches."""
     out = shared_dir(t.spark, "vendor")
-    rows = t.view("settled_bars_dup")
-    _in_thirds(t, rows, "Timestamp", f"{out}/bars")
-    return _to_files(t, live.read_ticks(t.spark, f"{out}/bars", rows.schema, max_files=1)).withColumn("Timestamp", F.col("Timestamp").cast("timestamp_ntz"))
+    bars_so_far = _streamed(t, _thirds(t.view("settled_bars_dup"), "Timestamp"), out, lambda bars: bars)
+    return bars_so_far.withColumn("Timestamp", F.col("Timestamp").cast("timestamp_ntz"))
 
 
 def _live_stitched(t: Tables) -> DataFrame:
