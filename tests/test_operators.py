@@ -493,3 +493,28 @@ def test_a_long_range_is_fetched_in_several_windows(spark):
     out = paging.fetch_window(symbols, marks, F.lit(T0), days_back=10, max_bars=5000).orderBy("window_start").collect()
     assert [r.n_bars for r in out] == [5000, 5000, 4400] and out[-1].window_end == T0
     assert all(a.window_end == b.window_start for a, b in zip(out, out[1:]))
+
+
+def test_blocks_count_as_tasks_do_and_stay_few(spark):
+    """Ids per task by blocks equal a plain count, over slice borders, and a long gap is few rows until it is spread out."""
+    rng = random.Random(4)
+    spans = [("A", 3, 3), ("A", 10, 74), ("A", 80, 420), ("B", 1, 9), (None, 5, 20), ("C", 0, 1_000_000)]
+    ids = [(rng.choice(["A", "B", "C", None]), rng.choice([None, *range(430)])) for _ in range(900)]
+    rows = spark.createDataFrame(ids + ids[:50], "symbol string, seq long")
+    blocks = gaps.gap_blocks(spark.createDataFrame(spans, "symbol string, start_id long, end_id long"), 10, tasks_per_block=20_000)
+    assert blocks.count() == 11
+    found = gaps.fill_blocks(rows, blocks, 10, rows_per_slice=40)
+    assert found.count() == 11
+    got = {(r.symbol, r.start_id, r.end_id): r.found for r in gaps.block_task(found, "found", 10).collect()}
+    want = {(s, a, min(a + 9, end)): len({i for k, i in ids if s and k == s and i is not None and a <= i <= min(a + 9, end)})
+            for s, start, end in spans for a in range(start, end + 1, 10)}
+    assert got == want
+
+
+def test_blocks_remember_what_is_done(spark):
+    blocks = spark.createDataFrame([("A", 1, 25)], "symbol string, start_id long, end_id long")
+    filled = lambda *found: spark.createDataFrame([("A", 1, 25, list(found))], "symbol string, start_id long, end_id long, found array<int>")
+    once = gaps.block_outcomes(gaps.pending_blocks(blocks, 10), filled(10, 4, 0), 1, 10)
+    twice = gaps.block_outcomes(once, filled(10, 10, 0), 2, 10)
+    assert [tuple(x) for x in once.first().tasks] == [(1, 0), (1, 6), (1, 5)]
+    assert [tuple(x) for x in twice.first().tasks] == [(1, 0), (2, 0), (2, 5)]
