@@ -189,3 +189,14 @@ def test_nothing_is_pruned_that_a_consumer_has_not_read(spark, tmp_path):
     read("slow", 9, 9, 2)  # an empty batch moves nothing
     assert prune() == 8 and left() == [6, 7, 8]
     assert set(seen["slow"]) == {b * 10 + i for b in range(1, 7) for i in range(2)}
+
+
+def test_staged_blocks_are_not_shuffled_again(spark, tmp_path, monkeypatch):
+    rows = spark.range(40).selectExpr("'p' AS provider", "'s' AS stream", "'A' AS symbol", "id AS seq", "id AS ts_ns", "true AS is_final", "1L AS batch_id")
+    frame, dealt = type(rows), []
+    hint = frame.hint
+    monkeypatch.setattr(frame, "hint", lambda self, name, *columns: dealt.append(name) or hint(self, name, *columns))
+    tables.canonical_merge(str(tmp_path / "table"), ids_per_block=10)(rows, 0)
+    assert dealt == ["rebalance"]
+    stored = spark.read.parquet(str(tmp_path / "table"))
+    assert sorted((r.seq, r.block) for r in stored.collect()) == [(i, f"s{i // 10}") for i in range(40)]

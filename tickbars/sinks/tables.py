@@ -122,7 +122,7 @@ def canonical_merge(root: str, ties: Iterable[str] = (), ids_per_block: int = 10
     ties, folders = tuple(ties), ("provider", "stream", "block")
 
     def write_blocks(rows: DataFrame, path: str) -> None:
-        rows.hint("rebalance", *folders).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(path)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(path)
 
     def write(ticks: DataFrame, batch_id: int) -> None:
         spark, staging = ticks.sparkSession, f"{root}-staging/batch={batch_id}"
@@ -134,8 +134,9 @@ def canonical_merge(root: str, ties: Iterable[str] = (), ids_per_block: int = 10
                 merged = upsert_into(_touched_blocks(spark.read.schema(rows.schema).parquet(root), rows, folders).select(*rows.columns), rows, ties)
             else:
                 merged = canonical_upsert(rows, ties)
-            write_blocks(merged, staging)
+            write_blocks(merged.hint("rebalance", *folders), staging)
             rows.unpersist()
+        # Staged files lie in their folders already: they are read and written as they are, without another shuffle.
         write_blocks(spark.read.schema(rows.schema).parquet(staging), root)
         remove(spark, staging)
     return write
