@@ -518,3 +518,14 @@ def test_blocks_remember_what_is_done(spark):
     twice = gaps.block_outcomes(once, filled(10, 10, 0), 2, 10)
     assert [tuple(x) for x in once.first().tasks] == [(1, 0), (1, 6), (1, 5)]
     assert [tuple(x) for x in twice.first().tasks] == [(1, 0), (2, 0), (2, 5)]
+
+
+def test_outcomes_of_blocks_do_not_pass_the_driver(spark):
+    """Rows that hold what came need no join; others meet it by shuffle, for files of arrays are far smaller than their rows."""
+    found = spark.createDataFrame([("A", 1, 25, [10, 4, 0])], "symbol string, start_id long, end_id long, found array<int>")
+    joined = gaps.block_outcomes(gaps.pending_blocks(found.drop("found"), 10), found, 1, 10)
+    own = gaps.block_outcomes(gaps.pending_blocks(found, 10), None, 1, 10)
+    assert [tuple(x) for x in own.first().tasks] == [tuple(x) for x in joined.first().tasks] == [(1, 0), (1, 6), (1, 5)]
+    assert own.first().found == [10, 4, 0]
+    for df in (joined, own):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
